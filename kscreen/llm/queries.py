@@ -42,6 +42,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op5_bpe)}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kscreen.llm.warc import assemble, read_archives, write_archives
+
+    captures = assemble(read_archives(write_archives(table(spark, sf_dir, "pages"))), payload=False)
+    fields = F.from_json("metadata.fields", "map<string,string>")
+    return captures.select(
+        fields["page-id"].cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        fields["refers-to-page-id"].cast("long").alias("refers_to"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op5_bpe, op6_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
