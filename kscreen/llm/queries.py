@@ -33,6 +33,15 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kscreen.llm.toxicity import fit, score, training_rows
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(training_rows(docs, table(spark, sf_dir, "labels"))))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +65,6 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op5_bpe, op6_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op4_toxicity, op5_bpe, op6_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
