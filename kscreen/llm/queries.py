@@ -65,6 +65,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op4_toxicity, op5_bpe, op6_warc)}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kscreen.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kscreen.llm.super_kmers import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op4_toxicity, op5_bpe, op6_warc, op7_suffix_dedup, op10_super_kmers)}
 
 ORACLE_SQL: dict[str, str] = {}
