@@ -71,12 +71,19 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kscreen.llm.minhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kscreen.llm.super_kmers import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op4_toxicity, op5_bpe, op6_warc, op7_suffix_dedup, op10_super_kmers)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op4_toxicity, op5_bpe, op6_warc, op7_suffix_dedup, op8_minhash, op10_super_kmers)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,8 +6,8 @@ same minimiser form a run, and a run's text travels as one packed string (a supe
 Equal windows have equal minimisers, so windows are only ever compared within a minimiser:
 
 1. minimisers are counted over the whole corpus, summed in each task before they are shuffled;
-2. those that occur twice or more go into a bit table in the shared folder (a Bloom filter of
-   at most MAX_BITS bits: at any size it only decides how many needless runs travel, never the result);
+2. those that occur twice or more go into a bit table in the shared folder (``bitfilter``:
+   bounded, and at any size it only decides how many needless runs travel, never the result);
 3. runs that pass it travel with their packed string; equal strings are merged into one row with
    a count; a string that occurs twice has only repeated windows;
 4. distinct strings that share a minimiser go to its bucket, where their windows are compared
@@ -24,18 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kscreen.llm.bitfilter import BitFilter
 from kscreen.llm.common import column, read_back, remove, row_key, store
-from kscreen.llm.token_store import filesystem
 
 #: Distinct strings of one minimiser above which its windows are counted by digests.
 HOT = 192
-#: Bits of the filter: 16 for each repeated minimiser, as a power of two between these.
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
 #: Bytes of packed strings that a bucket task compares at once (whole minimisers).
 CHUNK_BYTES = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
@@ -156,29 +153,6 @@ class Spec:
 #: Bucket comparison: (strings, windows in each, weights, window) -> repeated windows of each string.
 Compare = Callable[[list[bytes], np.ndarray, np.ndarray, int], list[np.ndarray]]
 
-_FILTERS: dict[str, np.ndarray] = {}
-
-
-def _filter(path: str, bits: int) -> np.ndarray:
-    """The bit table, read from the shared folder once per Python worker."""
-    if path not in _FILTERS:
-        system, at = filesystem(path)
-        t = pq.read_table(at, filesystem=system)
-        words = np.zeros(max(1, bits >> 6), np.int64)
-        words[t.column("word").to_numpy()] = t.column("bits").to_numpy()
-        _FILTERS.clear()
-        _FILTERS[path] = words.view(np.uint64)
-    return _FILTERS[path]
-
-
-def _passes(anchors: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    ok = np.ones(len(anchors), bool)
-    for shift in (0, 31):
-        at = anchors >> np.uint64(shift) & np.uint64(bits - 1)
-        ok &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return ok
-
-
 def _data(x: str | bytes | None) -> bytes:
     return b"" if x is None else x if isinstance(x, bytes) else x.encode()
 
@@ -213,11 +187,7 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
 
     anchors = rows.select("text").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     repeated = keep(anchors.filter("n > 1").select("anchor"), "anchors")
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * repeated.count()).bit_length()))
-    at = [F.shiftrightunsigned("anchor", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 31)]
-    places = repeated.select(F.explode(F.array(*at)).alias("at"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
-    table = store(places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")), "filter")
+    kept = BitFilter(repeated, "anchor", repeated.count())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +198,7 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
                 first, count, anchor = spec.runs(data)
                 if not len(first):
                     continue
-                ok = _passes(anchor, _filter(table, bits), bits)
+                ok = kept.passes(anchor)
                 if not ok.any():
                     continue
                 first, count, anchor = first[ok], count[ok], anchor[ok].view(np.int64)
@@ -273,7 +243,7 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
         out = out.unionByName(p)
     out = out.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     out = read_back(out, store(out, "spans"))
-    remove(spark, table, *done)
+    remove(spark, kept.path, *done)
     return out
 
 
