@@ -78,12 +78,19 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op9_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kscreen.llm.embeddings import near_vectors
+
+    found = near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kscreen.llm.super_kmers import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op4_toxicity, op5_bpe, op6_warc, op7_suffix_dedup, op8_minhash, op10_super_kmers)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op4_toxicity, op5_bpe, op6_warc, op7_suffix_dedup, op8_minhash, op9_subspace_join, op10_super_kmers)}
 
 ORACLE_SQL: dict[str, str] = {}
