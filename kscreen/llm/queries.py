@@ -33,6 +33,12 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kscreen.llm.decontaminate import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kscreen.llm.toxicity import fit, score, training_rows
 
@@ -91,6 +97,6 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op4_toxicity, op5_bpe, op6_warc, op7_suffix_dedup, op8_minhash, op9_subspace_join, op10_super_kmers)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lpt_shards, op3_decontamination, op4_toxicity, op5_bpe, op6_warc, op7_suffix_dedup, op8_minhash, op9_subspace_join, op10_super_kmers)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -14,9 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.repeats import Spec, covered, removed
+from kscreen.llm.common import row_key
+from kscreen.llm.repeats import Spec, covered, removed, spans
 
 WINDOW, GRAM = 35, 8
 
@@ -65,6 +67,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return removed(docs, Spec(window, GRAM, True), compare, id_col, text_col).mapInArrow(run, schema)
 
 
+def with_kept(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """docs with two more columns: _kept binary, as in ``remove_repeats``, and _n_removed."""
+    at, width = docs.columns.index(text_col), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_kept(t, s, window) for t, s in zip(b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array([x[0] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], [*b.schema.names[:width], "_kept", "_n_removed"])
+
+    rows = docs.select("*", *row_key(F.col(id_col), F.col(text_col)))
+    found = spans(rows.select("k1", "k2", F.col(text_col).alias("text")), Spec(window, GRAM, True), compare)
+    rows = rows.join(found, ["k1", "k2"], "left").select(*docs.columns, "spans")
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()), T.StructField("_n_removed", T.LongType())]))
+
+
 def _kept(text: str | None, spans: list[dict] | None, window: int) -> tuple[bytes, int, int]:
     words = (text or "").encode().split()
     if not spans:

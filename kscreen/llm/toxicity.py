@@ -215,3 +215,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     return docs.select(column(docs, id_col), column(docs, text_col)).mapInArrow(run, schema)
+
+
+def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with one more column, _score."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([model.score(t) for t in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, "_score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
