@@ -123,8 +123,9 @@ def test_tiles_and_kmers(spark):
     df = spark.createDataFrame([(1, "ABCDEFG\nH"), (2, ""), (3, None)], "id long, text string")
     assert [tuple(r) for r in kmers.tiles(df, "text", 4, "id").orderBy("tile_no").collect()] == [(1, 0, "abcd"), (1, 1, "efg\n"), (1, 2, "h")]
     assert kmers.kmers(df, "text", 8, "id").count() == 2
-    reads = spark.createDataFrame([("abcdefgh",), ("abcdef",), ("ab",)], "seq string")
-    assert sorted((r.seq, r.pos) for r in kmers.anchors(reads, 3).select("seq", "pos").collect()) == [("abcdef", 0), ("abcdef", 3), ("abcdefgh", 0), ("abcdefgh", 3), ("abcdefgh", 5)]
+    reads = spark.createDataFrame([(1, "abcdefgh"), (2, "abcdef"), (3, "ab")], READS)
+    got = sorted((r.read_id, r.pos, r.kmer) for r in kmers.anchors(reads, 3, "read_id").collect())
+    assert got == [(1, 0, "abc"), (1, 3, "def"), (1, 5, "fgh"), (2, 0, "abc"), (2, 3, "def")]
 
 
 @pytest.mark.parametrize("build,contains", [(bloom.build, bloom.contains), (bloom.build_jenkins, bloom.contains_jenkins)])
