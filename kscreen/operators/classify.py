@@ -114,30 +114,27 @@ def _fields(prefix: str) -> list[T.StructField]:
     return [T.StructField(f"{prefix}_{c}", T.BooleanType() if c == "gate" else T.LongType()) for c in STRAND]
 
 
-def _shipped(reads: DataFrame, filters: list[tuple[object, list[str]]] | None, known: list[str], k: int, seq_col: str, filter_col: str | None, both: bool) -> DataFrame:
+def _strands(seqs: list[str], both: bool) -> dict[str, list[str]]:
+    return {"fwd": seqs} | ({"rev": [reverse_complement(s) for s in seqs]} if both else {})
+
+
+def _shipped(reads: DataFrame, known: list[str], k: int, seq_col: str, both: bool) -> DataFrame:
     at = reads.columns.index(seq_col)
     prefixes = ("fwd", "rev") if both else ("fwd",)
-    extra = [T.StructField(filter_col, T.LongType())] if filter_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernels = [(name, Kernel(kmers, k)) for name, kmers in (filters if filters is not None else [(None, known)])]
+        kernel = Kernel(known, k)
         for batch in batches:
             for i in range(0, batch.num_rows, 20_000):
                 b = batch.slice(i, 20_000)
-                seqs = [s or "" for s in b.column(at).to_pylist()]
-                strands = {"fwd": seqs} | ({"rev": [reverse_complement(s) for s in seqs]} if both else {})
-                for name, kernel in kernels:
-                    cols, names = list(b.columns), list(b.schema.names)
-                    if filter_col:
-                        cols.append(pa.array([name] * b.num_rows, pa.int64()))
-                        names.append(filter_col)
-                    for p in prefixes:
-                        got = kernel.strand(strands[p])
-                        cols += [pa.array(got[c]) for c in STRAND]
-                        names += [f"{p}_{c}" for c in STRAND]
-                    yield pa.RecordBatch.from_arrays(cols, names)
-
-    return reads.mapInArrow(run, T.StructType([*reads.schema.fields, *extra, *[f for p in prefixes for f in _fields(p)]]))
+                cols, names = list(b.columns), list(b.schema.names)
+                for p, seqs in _strands([s or "" for s in b.column(at).to_pylist()], both).items():
+                    got = kernel.strand(seqs)
+                    cols += [pa.array(got[c]) for c in STRAND]
+                    names += [f"{p}_{c}" for c in STRAND]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return reads.mapInArrow(run, T.StructType([*reads.schema.fields, *[f for p in prefixes for f in _fields(p)]]))
 
 
 def _joined(reads: DataFrame, reference: DataFrame, k: int, seq: Column, prefix: str, key: list[str]) -> DataFrame:
@@ -165,7 +162,7 @@ def window_counts(reads: DataFrame, reference: DataFrame, k: int, key: list[str]
     limit = SHIP_KMERS if ship is None else ship
     known = [r[0] for r in reference.select("kmer").limit(limit + 1).toLocalIterator()]
     if len(known) <= limit:
-        return _shipped(reads, None, known, k, seq_col, None, both)
+        return _shipped(reads, known, k, seq_col, both)
     out = reads
     for prefix, seq in (("fwd", F.col(seq_col)), ("rev", revcomp(F.col(seq_col))))[: 2 if both else 1]:
         out = out.join(_joined(reads, reference, k, seq, prefix, key), key, "left").na.fill({f"{prefix}_{c}": False if c == "gate" else 0 for c in STRAND})
@@ -173,18 +170,53 @@ def window_counts(reads: DataFrame, reference: DataFrame, k: int, key: list[str]
 
 
 def filter_counts(reads: DataFrame, reference: DataFrame, filter_col: str, k: int, seq_col: str = "seq", both: bool = True) -> DataFrame:
-    """The same for every read and every filter of reference (filter_col, kmer): one pass for all filters.
+    """The same for the pairs of a read and a filter of reference (filter_col long, kmer) that have a match.
 
-    The filters must fit ``SHIP_KMERS`` together; screen further ones in blocks of filters.
+    All filters are looked up at once, so a read's windows are hashed once however many filters
+    there are, and pairs without a match make no row. The filters must fit ``SHIP_KMERS``
+    together; screen further ones in blocks of filters.
     """
-    by: dict[object, list[str]] = {}
+    known: dict[str, list[int]] = {}
     total = 0
     for r in reference.select(filter_col, "kmer").limit(SHIP_KMERS + 1).toLocalIterator():
-        by.setdefault(r[0], []).append(r[1])
+        known.setdefault(r[1], []).append(r[0])
         total += 1
     if total > SHIP_KMERS:
         raise ValueError(f"more than {SHIP_KMERS} k-mers; screen against fewer filters at once")
-    return _shipped(reads, sorted(by.items()), [], k, seq_col, filter_col, both)
+    at = reads.columns.index(seq_col)
+    prefixes = ("fwd", "rev") if both else ("fwd",)
+    names = [*reads.columns, filter_col, *[f"{p}_{c}" for p in prefixes for c in STRAND]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = Kernel(list(known), k)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 20_000):
+                b = batch.slice(i, 20_000)
+                counts = [_by_filter(kernel, seqs, known) for seqs in _strands([s or "" for s in b.column(at).to_pylist()], both).values()]
+                pairs = sorted(set().union(*counts))
+                none = dict.fromkeys(STRAND, 0) | {"gate": False}
+                cols = [c.take(pa.array([read for _, read in pairs], pa.int64())) for c in b.columns]
+                cols.append(pa.array([f for f, _ in pairs], pa.int64()))
+                cols += [pa.array([c.get(x, none)[name] for x in pairs], pa.bool_() if name == "gate" else pa.int64()) for c in counts for name in STRAND]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return reads.mapInArrow(run, T.StructType([*reads.schema.fields, T.StructField(filter_col, T.LongType()), *[f for p in prefixes for f in _fields(p)]]))
+
+
+def _by_filter(kernel: Kernel, seqs: list[str], known: dict[str, list[int]]) -> dict[tuple[int, int], dict]:
+    """(filter, read) -> the columns of STRAND."""
+    k = kernel.k
+    read, pos, length = kernel.matches(seqs)
+    places: dict[tuple[int, int], list[int]] = {}
+    for r, p in zip(read.tolist(), pos.tolist(), strict=True):
+        for f in known[seqs[r][p : p + k]]:
+            places.setdefault((f, r), []).append(p)
+    out = {}
+    for (f, r), ps in places.items():
+        n = int(length[r])
+        anchors = sum(p % k == 0 or p == n - k for p in ps)
+        out[f, r] = {"m": len(ps), "runs": 1 + sum(b != a + 1 for a, b in zip(ps, ps[1:])), "blocks": len({p // k for p in ps}), "gate": anchors > 0, "anchor_hits": anchors}
+    return out
 
 
 def verdicts(counted: DataFrame, k: int, threshold: float, seq_col: str = "seq", both: bool = True) -> DataFrame:

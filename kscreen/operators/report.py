@@ -31,6 +31,15 @@ def report(classified: DataFrame, k: int, *by: str | Column) -> DataFrame:
     return with_rates(sums, k)
 
 
+def filter_report(matched: DataFrame, reads: DataFrame, filters: DataFrame, filter_col: str, k: int, seq_col: str = "seq") -> DataFrame:
+    """One row per filter, from the pairs that have a match: every filter has seen all reads."""
+    sums = matched.groupBy(filter_col).agg(F.count_if("contaminated").alias("c"), F.sum("hits").alias("h"))
+    seen = reads.agg(F.count("*").alias("total_read_count"), F.coalesce(F.sum(F.length(seq_col)), F.lit(0)).cast("long").alias("all_k"))
+    rows = filters.select(filter_col).distinct().join(sums, filter_col, "left").crossJoin(F.broadcast(seen))  # seen is one row
+    rows = rows.select(filter_col, "total_read_count", F.coalesce("c", F.lit(0)).alias("contaminated_reads"), F.coalesce("h", F.lit(0)).cast("long").alias("total_hits"), "all_k")
+    return with_rates(rows, k)
+
+
 def with_rates(sums: DataFrame, k: int) -> DataFrame:
     return sums.withColumn("contamination_rate", ratio(F.col("contaminated_reads"), F.col("total_read_count"))).withColumn(
         "p_value", p_value(F.col("total_hits"), F.col("all_k"), F.lit(default_hit_probability(k)))

@@ -117,8 +117,9 @@ def report_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def per_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item is a filter of its own; all are screened in one pass."""
-    counted = classify.filter_counts(reads(spark, sf_dir), reference(spark, sf_dir, "item_id"), "item_id", K)
-    return _rounded(report.report(classify.verdicts(counted, K, THRESHOLD), K, "item_id"))
+    rows, known = reads(spark, sf_dir), reference(spark, sf_dir, "item_id")
+    matched = classify.verdicts(classify.filter_counts(rows, known, "item_id", K), K, THRESHOLD)
+    return _rounded(report.filter_report(matched, rows, known, "item_id", K))
 
 
 def remove_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
