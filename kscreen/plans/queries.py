@@ -167,11 +167,6 @@ def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", compare.split_rate(F.col("contaminated"), F.col("clean")))
 
 
-def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = classified(spark, sf_dir)
-    return rows.groupBy("doc_id").agg(F.max(F.when(F.col("fwd_gate"), F.col("fwd_score"))).alias("score"), F.max("fwd_m").alias("m"))
-
-
 def roc_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents called at each threshold; truth: the document holds 50 or more reference windows."""
     truth = classified(spark, sf_dir).groupBy("doc_id").agg(F.max(F.when(F.col("fwd_gate"), F.col("fwd_score"))).alias("score"), (F.sum("fwd_m") >= 50).alias("positive"))
