@@ -16,6 +16,8 @@ from kscreen.llm.token_store import filesystem
 
 #: 16 bits or more for each key, as a power of two between these.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
+#: Tables that a Python worker holds at once; no operator's task needs more.
+LOADED = 4
 _SHIFTS = (0, 31)
 _LOADED: dict[str, np.ndarray] = {}
 
@@ -36,7 +38,7 @@ class BitFilter:
             t = pq.read_table(at, filesystem=system)
             words = np.zeros(self.bits >> 6, np.int64)
             words[t.column("word").to_numpy()] = t.column("bits").to_numpy()
-            while len(_LOADED) >= 2:
+            while len(_LOADED) >= LOADED:
                 _LOADED.pop(next(iter(_LOADED)))
             _LOADED[self.path] = words.view(np.uint64)
         return _LOADED[self.path]
