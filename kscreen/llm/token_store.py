@@ -134,6 +134,8 @@ def write_file(uri: str, doc_ids: list[int | None], ends: list[int], ids: np.nda
 
 
 _ENCODERS: dict[str, UnitCache] = {}
+#: Units that are encoded as one text.
+JOINED = 4000
 
 
 def encoder(tokenizer_path: str) -> UnitCache:
@@ -146,7 +148,32 @@ def encoder(tokenizer_path: str) -> UnitCache:
 
         t = Tokenizer.from_file(tokenizer_path)
         t.encode_special_tokens = True
-        _ENCODERS[tokenizer_path] = UnitCache(lambda x: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(x, add_special_tokens=False)])
+        size = np.zeros(t.get_vocab_size(), np.int64)
+        for token, i in t.get_vocab().items():
+            size[i] = len(token)  # a byte-level token has a character for each byte
+
+        def alone(units: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
+
+        def joined(units: list[str]) -> list[bytes]:
+            """Units that start with one space and end without: joined, they are the matches of one text."""
+            ids = np.array(t.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(size[ids])
+            wanted = np.cumsum([len(u.encode()) for u in units])
+            cut = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[cut], wanted):
+                return alone(units)
+            code, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
+            return [code[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
+        def encode_new(units: list[str]) -> list[bytes]:
+            whole = [u[:1] == " " and u[1:2] != "" and not u[1].isspace() and not u[-1].isspace() for u in units]
+            tied, free = [u for u, w in zip(units, whole, strict=True) if w], [u for u, w in zip(units, whole, strict=True) if not w]
+            a = iter([x for i in range(0, len(tied), JOINED) for x in joined(tied[i : i + JOINED])])
+            b = iter(alone(free) if free else [])
+            return [next(a) if w else next(b) for w in whole]
+
+        _ENCODERS[tokenizer_path] = UnitCache(encode_new)
     return _ENCODERS[tokenizer_path]
 
 

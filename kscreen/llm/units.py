@@ -14,8 +14,9 @@ from collections.abc import Callable, Iterable, Iterator
 _UNSAFE = re.compile(r" \s|\s |^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Entries after which a cache starts anew; bounds a worker's memory, never the result.
-CACHE_LIMIT = 600_000
+#: Entries of a cache's younger half. When it is full it becomes the older half, from which entries
+#: that are met again come back; bounds a worker's memory, never the result.
+CACHE_LIMIT = 350_000
 
 
 def units(text: str) -> list[str]:
@@ -30,6 +31,7 @@ class UnitCache:
         self.encode_new, self.limit = encode_new, limit
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str | None], group: int = 512) -> Iterator[bytes]:
         """The code of each text in turn; null counts as empty."""
@@ -51,11 +53,12 @@ class UnitCache:
 
     def _resolve(self, held: list[bytes | list[str]]) -> list[bytes]:
         if len(self.first) + len(self.rest) > self.limit:
-            self.first.clear()
-            self.rest.clear()
+            self.first, self.rest, self.older = {}, {}, self.rest
         open_ = [u for u in held if isinstance(u, list)]
         new_first = list({u[0] for u in open_}.difference(self.first))
-        new_rest = list({x for u in open_ for x in u[1:]}.difference(self.rest))
+        wanted = {x for u in open_ for x in u[1:]}.difference(self.rest)
+        self.rest.update((x, self.older[x]) for x in wanted & self.older.keys())
+        new_rest = list(wanted.difference(self.rest))
         if new_first or new_rest:
             codes = self.encode_new(new_first + [" " + x for x in new_rest])
             self.first.update(zip(new_first, codes[: len(new_first)], strict=True))
