@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 
 from kscreen.llm.units import UnitCache
 
-_END = 0xFFFFFFFF
+#: Stands between words; above every id, so that a pair of ids fits in one number.
+_SHIFT = 20
+_GAP = (1 << _SHIFT) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,75 +39,94 @@ class MergeReplay:
     """Encodes words (bytes) by ranks; replays the merges over a list of words at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values()) >= _GAP:
+            raise ValueError(f"ranks must be below {_GAP}")
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.pair: dict[int, int] = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.pair[a << 32 | b] = rank
+                    self.pair[a << _SHIFT | b] = rank
+        keys = np.fromiter(self.pair, np.int64, len(self.pair))
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.fromiter(self.pair.values(), np.int64, len(keys))[order]
 
     def alone(self, word: bytes) -> list[int]:
         """One word: lowest rank first, leftmost first."""
         ids, pair = [self.byte[b] for b in word], self.pair
         while len(ids) > 1:
-            best, at = min(((pair.get(ids[i] << 32 | ids[i + 1], _END), i) for i in range(len(ids) - 1)), default=(_END, 0))
-            if best == _END:
+            best, at = min((pair.get(ids[i] << _SHIFT | ids[i + 1], _GAP), i) for i in range(len(ids) - 1))
+            if best == _GAP:
                 break
             ids[at : at + 2] = [best]
         return ids
 
+    def index(self, symbols: np.ndarray) -> dict[int, list[int]]:
+        """Rank -> positions of the pairs that merge to it."""
+        pairs = symbols[:-1] << _SHIFT | symbols[1:]
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        positions = np.flatnonzero(self.keys[at] == pairs)
+        ranks = self.ranks[at[positions]]
+        order = np.argsort(ranks, kind="stable")
+        positions, ranks = positions[order], ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        firsts = ranks[np.concatenate([[0], cuts])].tolist() if len(ranks) else []
+        return dict(zip(firsts, [x.tolist() for x in np.split(positions, cuts)], strict=False))
+
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word."""
-        pair, byte = self.pair, self.byte
-        sym: list[int] = []
-        start: list[int] = []
-        for w in words:
-            start.append(len(sym))
-            sym.extend([byte[b] for b in w])
-            sym.append(_END)
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        get = pair.get
-        for p in range(n - 1):
-            r = get(sym[p] << 32 | sym[p + 1])
-            if r is not None:
-                if r in index:
-                    index[r].append(p)
-                else:
-                    index[r] = [p]
+        sizes = np.array([len(w) for w in words], np.int64)
+        start = np.cumsum(sizes + 1) - sizes
+        joined = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
+        symbols = np.array(self.byte, np.int64)[joined]
+        symbols[np.concatenate([[0], start + sizes])] = _GAP
+        index, get = self.index(symbols), self.pair.get
+        sym: list[int] = symbols.tolist()
+        nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
         todo = list(index)
         heapq.heapify(todo)
-        odd: set[int] = set()
+        odd: list[int] = []
         while todo:
             rank = heapq.heappop(todo)
+            as_left = rank << _SHIFT
             for p in sorted(index.pop(rank)):
                 a = sym[p]
                 if a < 0:
                     continue
                 q = nxt[p]
-                if get(a << 32 | sym[q] & _END) != rank:
+                if get(a << _SHIFT | sym[q]) != rank:
                     continue
+                after, before = nxt[q], prv[p]
                 sym[p], sym[q] = rank, -1
-                after = nxt[p] = nxt[q]
+                nxt[p] = after
                 prv[after] = p
-                before = prv[p]
-                for left, key in ((p, rank << 32 | sym[after]), (before, sym[before] << 32 | rank if before >= 0 else -1)):
-                    r = get(key)
-                    if r is None:
-                        continue
+                r = get(as_left | sym[after])
+                if r is not None:
+                    if r <= rank:
+                        odd.append(p)
+                    elif r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        heapq.heappush(todo, r)
+                r = get(sym[before] << _SHIFT | rank)
+                if r is not None:
                     if r <= rank:
-                        odd.add(left)
-                    if r in index:
-                        index[r].append(left)
-                    elif r > rank:
-                        index[r] = [left]
+                        odd.append(before)
+                    elif r in index:
+                        index[r].append(before)
+                    else:
+                        index[r] = [before]
                         heapq.heappush(todo, r)
-        out = []
-        odd_words = set(np.searchsorted(start, sorted(odd), "right") - 1) if odd else ()
-        for k, (s, w) in enumerate(zip(start, words, strict=True)):
-            out.append(self.alone(w) if k in odd_words else [x for x in sym[s : s + len(w)] if x >= 0])
+        final = np.array(sym, np.int64)
+        live = final >= 0
+        live[np.concatenate([[0], start + sizes])] = False
+        ends = np.cumsum(live)
+        ids = final[live].tolist()
+        out = [ids[a:b] for a, b in zip((ends[start - 1]).tolist(), ends[start + sizes].tolist(), strict=True)]
+        for k in set((np.searchsorted(start, odd, "right") - 1).tolist()):
+            out[k] = self.alone(words[k])
         return out
 
 
@@ -175,9 +196,9 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
             values, offsets = np.asarray(ids_all.values), np.asarray(ids_all.offsets)
             for i in range(batch.num_rows):
                 ids = values[offsets[i] : offsets[i + 1]] if ids_all[i].is_valid else values[:0]
-                size = length[ids]
-                if len(ids) and not size.all():
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(length) or not length[ids].all()):
                     raise ValueError("an id has no token")
+                size = length[ids]
                 ends = np.cumsum(size)
                 texts.append(blob[np.repeat(place[ids] - (ends - size), size) + np.arange(ends[-1] if len(ids) else 0)].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out_col])
