@@ -6,15 +6,15 @@ same minimiser form a run, and a run's text travels as one packed string (a supe
 Equal windows have equal minimisers, so windows are only ever compared within a minimiser:
 
 1. minimisers are counted over the whole corpus, summed in each task before they are shuffled;
-2. those that occur twice or more go into a bit table in the shared folder (``bitfilter``:
-   bounded, and at any size it only decides how many needless runs travel, never the result);
-3. runs that pass it travel with their packed string; equal strings are merged into one row with
-   a count; a string that occurs twice has only repeated windows;
-4. distinct strings that share a minimiser go to its bucket, where their windows are compared
-   exactly; a minimiser with more than HOT distinct strings is split instead: its windows are
-   counted by 128-bit digests, summed before the shuffle, and so spread over all tasks.
-
-Occurrences then come back to their rows as spans.
+   those that occur twice or more make a bit table in the shared folder (``bitfilter``: bounded,
+   and at any size it only decides how much travels in vain, never the result);
+2. runs that pass it are listed by a 128-bit digest of their string, equal ones of a text as
+   one; a string that occurs twice has only repeated windows;
+3. of the strings that share a minimiser with a different string, one copy each travels to the
+   minimiser's bucket, where their windows are compared exactly. A minimiser with more than HOT
+   strings is split instead: its windows are counted by 128-bit digests, summed before the
+   shuffle, and so spread over all tasks;
+4. the spans come back to their rows; only texts that have any are shuffled for it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kscreen.llm.bitfilter import BitFilter
@@ -51,13 +51,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def byte_grams(data: bytes, k: int = 16) -> np.ndarray:
-    """Hash of the 16 bytes from every position."""
+def byte_grams(data: bytes, k: int) -> np.ndarray:
+    """Hash of the k bytes (a multiple of 8) from every position."""
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    return mix(words[:n] * _M1 ^ words[8 : 8 + n] * _M2)
+    h = words[:n] * _M1
+    for i in range(8, k, 8):
+        h ^= h >> np.uint64(31)
+        h += words[i : i + n]
+        h *= _M2
+    return mix(h)
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -150,8 +155,9 @@ class Spec:
         return [string[a : a + self.window] for a in range(count)]
 
 
-#: Bucket comparison: (strings, windows in each, weights, window) -> repeated windows of each string.
-Compare = Callable[[list[bytes], np.ndarray, np.ndarray, int], list[np.ndarray]]
+#: Bucket comparison: (strings, windows in each, window) -> which windows of each string occur twice or more.
+Compare = Callable[[list[bytes], np.ndarray, int], list[np.ndarray]]
+
 
 def _data(x: str | bytes | None) -> bytes:
     return b"" if x is None else x if isinstance(x, bytes) else x.encode()
@@ -163,6 +169,15 @@ def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), strict=True))
 
 
+def _spot(k2: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A key of a run: its row's and its place's."""
+    return k2 ^ first ^ first << 31
+
+
+def _spot_column(k2: Column, first: Column) -> Column:
+    return k2.bitwiseXOR(first).bitwiseXOR(F.shiftleft(first, 31))
+
+
 def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
     """rows: (k1, k2, text). Returns (k1, k2, spans array<struct<first, n>>): runs of repeated windows' starts."""
     spark = rows.sparkSession
@@ -187,69 +202,113 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
 
     anchors = rows.select("text").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     repeated = keep(anchors.filter("n > 1").select("anchor"), "anchors")
-    kept = BitFilter(repeated, "anchor", repeated.count())
+    shared = BitFilter(repeated, "anchor", repeated.count())
+    done.append(shared.path)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            size = 0
             for k1, k2, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 data = _data(t)
                 first, count, anchor = spec.runs(data)
                 if not len(first):
                     continue
-                ok = kept.passes(anchor)
-                if not ok.any():
-                    continue
-                first, count, anchor = first[ok], count[ok], anchor[ok].view(np.int64)
-                for a, n, h, s in zip(first.tolist(), count.tolist(), anchor.tolist(), spec.strings(data, first, count), strict=True):
-                    out.append((k1, k2, a, n, h, xxhash.xxh3_128_digest(s), s))
-                    size += len(s) + 60
-                if size >= 4 << 20:
+                ok = shared.passes(anchor)
+                first, count, anchor = first[ok], count[ok], anchor[ok].view(np.int64).tolist()
+                own: dict[tuple[int, bytes], list] = {}
+                for a, n, h, s in zip(first.tolist(), count.tolist(), anchor, spec.strings(data, first, count), strict=True):
+                    d = xxhash.xxh3_128_digest(s)
+                    if (h, d) in own:
+                        own[h, d][6].append(a)
+                    else:
+                        own[h, d] = [k1, k2, a, n, h, d, []]
+                out += own.values()
+                if len(out) >= 20_000:
                     yield _batch(out, RUN)
-                    out, size = [], 0
+                    out = []
             if out:
                 yield _batch(out, RUN)
 
-    found = keep(rows.select("k1", "k2", "text").mapInArrow(emit, "k1 long, k2 long, first long, n long, anchor long, digest binary, data binary"), "runs")
-    strings = found.groupBy("anchor", "digest").agg(F.count("*").alias("weight"), F.first("n").alias("n"), F.first("data").alias("data"), F.min(F.struct("k1", "k2", "first")).alias("at"))
-    strings = keep(strings, "strings")
+    found = keep(rows.select("k1", "k2", "text").mapInArrow(listed, "k1 long, k2 long, first long, n long, anchor long, digest binary, more array<long>"), "runs")
+    weight = F.size("more") + 1
+    strings = found.groupBy("anchor", "digest").agg(F.sum(weight).alias("weight"), F.min(F.struct("k1", "k2", "first")).alias("at"))
+    strings = keep(strings.select("anchor", "digest", "weight", _spot_column(F.col("at.k2"), F.col("at.first")).alias("spot")), "strings")
     kinds = keep(strings.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     # both sides of these joins are plain scans, so that a key of very many rows can be split by the engine
-    whole = found.select("anchor", "digest", "k1", "k2", "first", "n").join(strings.filter("weight > 1").select("anchor", "digest"), ["anchor", "digest"]).select("k1", "k2", "first", "n")
-    cold = strings.select("anchor", "weight", "n", "data", "at").join(kinds.filter(F.col("kinds") <= HOT).select("anchor"), "anchor")
+    twice = strings.filter("weight > 1").select("anchor", "digest")
+    alone = found.filter(F.size("more") == 0).select("anchor", "digest", "k1", "k2", "first", "n").join(twice, ["anchor", "digest"]).select("k1", "k2", "first", "n")
+    inside = found.filter(F.size("more") > 0).select("k1", "k2", F.explode(F.concat(F.array("first"), "more")).alias("first"), "n")
+    open_ = keep(strings.select("anchor", "spot").join(kinds.select("anchor"), "anchor").select("spot"), "open")
+    wanted = BitFilter(open_, "spot", open_.count())
+    hot = keep(kinds.filter(F.col("kinds") > HOT).select("anchor"), "hot")
+    n_hot = hot.count()
+    split = BitFilter(hot, "anchor", n_hot)
+    done.extend((wanted.path, split.path))
+
+    def chosen(want_hot: bool, make: Callable[[list[tuple]], pa.RecordBatch]):
+        """Strings of wanted runs whose minimiser is (not) hot. By chance a few more come, which are strings of the corpus too."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple] = []
+                size = 0
+                for k1, k2, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    data = _data(t)
+                    first, count, anchor = spec.runs(data)
+                    if not len(first):
+                        continue
+                    ok = shared.passes(anchor) & wanted.passes(_spot(np.int64(k2), first)) & (split.passes(anchor) == want_hot)
+                    if not ok.any():
+                        continue
+                    first, count, anchor = first[ok], count[ok], anchor[ok].view(np.int64)
+                    for a, n, h, s in zip(first.tolist(), count.tolist(), anchor.tolist(), spec.strings(data, first, count), strict=True):
+                        out.append((k1, k2, a, n, h, s))
+                        size += (len(s) + 60) * (n if want_hot else 1)
+                    if size >= 4 << 20:
+                        yield make(out)
+                        out, size = [], 0
+                if out:
+                    yield make(out)
+
+        return run
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if size >= CHUNK_BYTES and row[0] != last:
+                if size >= CHUNK_BYTES and row[4] != last:
                     yield _compared(held, spec, compare)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
-                last = row[0]
+                size += len(row[5])
+                last = row[4]
         if held:
             yield _compared(held, spec, compare)
 
-    cold = cold.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "weight", "n", "data", F.col("at.k1"), F.col("at.k2"), F.col("at.first"))
-    parts = [whole, cold.mapInArrow(bucket, SPAN)]
-    hot = kinds.filter(F.col("kinds") > HOT)
-    if hot.limit(1).count():
-        parts.append(_by_digest(strings, keep(hot.select("anchor"), "hot"), spec, keep))
+    def windows(out: list[tuple]) -> pa.RecordBatch:
+        return _batch([(xxhash.xxh3_128_digest(w), k1, k2, a + i) for k1, k2, a, n, _, s in out for i, w in enumerate(spec.windows(s, n))], WINDOW)
+
+    cold = rows.select("k1", "k2", "text").mapInArrow(chosen(False, lambda out: _batch(out, STRING)), "k1 long, k2 long, first long, n long, anchor long, data binary")
+    parts = [alone, inside, cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(bucket, "k1 long, k2 long, first long, n long")]
+    if n_hot:
+        exploded = keep(rows.select("k1", "k2", "text").mapInArrow(chosen(True, windows), "window binary, k1 long, k2 long, first long"), "windows")
+        often = keep(exploded.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "often")
+        parts.append(exploded.join(often, "window").select("k1", "k2", "first", F.lit(1).cast("long").alias("n")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     out = read_back(out, store(out, "spans"))
-    remove(spark, kept.path, *done)
+    remove(spark, *done)
     return out
 
 
-RUN = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary()), ("data", pa.binary())])
-SPAN = "k1 long, k2 long, first long, n long"
-SPAN_SCHEMA = pa.schema([(x, pa.int64()) for x in ("k1", "k2", "first", "n")])
+_LONG = pa.int64()
+RUN = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG), ("anchor", _LONG), ("digest", pa.binary()), ("more", pa.list_(_LONG))])
+STRING = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG), ("anchor", _LONG), ("data", pa.binary())])
+WINDOW = pa.schema([("window", pa.binary()), ("k1", _LONG), ("k2", _LONG), ("first", _LONG)])
+SPAN = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG)])
 
 
 def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -257,42 +316,37 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
 
-def _batch(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def _batch(out: list, schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*out, strict=True)) if out else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
 def _compared(held: list[tuple], spec: Spec, compare: Compare) -> pa.RecordBatch:
-    flags = compare([r[3] for r in held], np.array([r[2] for r in held]), np.array([r[1] for r in held]), spec.window)
-    out = [(r[4], r[5], r[6] + a, n) for r, f in zip(held, flags, strict=True) if r[1] == 1 for a, n in ranges(f)]
-    return _batch(out, SPAN_SCHEMA)
+    flags = compare([r[5] for r in held], np.array([r[3] for r in held]), spec.window)
+    return _batch([(r[0], r[1], r[2] + a, n) for r, f in zip(held, flags, strict=True) for a, n in ranges(f)], SPAN)
 
 
-def _by_digest(strings: DataFrame, hot: DataFrame, spec: Spec, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Spans of strings whose minimiser is in hot: windows counted by digest."""
-    schema = pa.schema([("window", pa.binary()), ("weight", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64())])
+def with_spans(docs: DataFrame, spec: Spec, compare: Compare, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows without spans, rows with a column spans): together every row of docs once, all columns.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for weight, n, data, k1, k2, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                out += [(xxhash.xxh3_128_digest(w), weight, k1, k2, first + i) for i, w in enumerate(spec.windows(data, n))]
-                if len(out) >= 50_000:
-                    yield _batch(out, schema)
-                    out = []
-            yield _batch(out, schema)
+    Rows that have no spans are told apart in their own tasks, so that their texts are not shuffled.
+    """
+    keyed = docs.select("*", *[k.alias(f"_{n}") for k, n in zip(row_key(column(docs, id_col), column(docs, text_col)), ("k1", "k2"), strict=True)])
+    found = spans(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), column(docs, text_col).alias("text")), spec, compare)
+    have = BitFilter(found, "k2", found.count())
+    at = len(docs.columns) + 1
 
-    rows = strings.join(hot, "anchor").select("weight", "n", "data", F.col("at.k1"), F.col("at.k2"), F.col("at.first"))
-    windows = keep(rows.mapInArrow(explode, "window binary, weight long, k1 long, k2 long, first long"), "windows")
-    twice = keep(windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window"), "twice")
-    return windows.filter("weight = 1").join(twice, "window").select("k1", "k2", "first", F.lit(1).cast("long").alias("n"))
+    def those(passing: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield b.filter(pa.array(have.passes(b.column(at).to_numpy()) == passing))
 
+        return run
 
-def removed(docs: DataFrame, spec: Spec, compare: Compare, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, spans) of every row of docs; spans is null where nothing repeats. id keeps its type."""
-    rows = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
-    rows = rows.select("id", "text", *row_key(F.col("id"), F.col("text")))
-    return rows.join(spans(rows, spec, compare), ["k1", "k2"], "left").select("id", "text", "spans")
+    free = keyed.mapInArrow(those(False), keyed.schema).drop("_k1", "_k2")
+    found = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
+    return free, keyed.mapInArrow(those(True), keyed.schema).join(found, ["_k1", "_k2"], "left").select(*docs.columns, "_spans")
 
 
 def covered(spans_: list[dict] | None, n: int, window: int) -> np.ndarray:

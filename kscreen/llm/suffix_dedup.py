@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kscreen.llm.repeats import Spec, covered, removed
+from kscreen.llm.common import column
+from kscreen.llm.repeats import Spec, covered, with_spans
 
-WINDOW, GRAM = 400, 16
+WINDOW, GRAM = 400, 48
 
 
 def suffix_array(text: bytes, depth: int) -> np.ndarray:
@@ -105,8 +106,8 @@ def shared_prefix(text: bytes, a: np.ndarray, b: np.ndarray, depth: int) -> np.n
     return same
 
 
-def compare(strings: list[bytes], counts: np.ndarray, weights: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each string, which of its first counts[i] windows occur twice or more, string i counting weights[i] times."""
+def compare(strings: list[bytes], counts: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each string, which of its first counts[i] windows occur twice or more in all strings."""
     text = b"\0".join(strings)
     sizes = np.array([len(s) for s in strings]) + 1
     base = np.cumsum(sizes) - sizes
@@ -119,8 +120,8 @@ def compare(strings: list[bytes], counts: np.ndarray, weights: np.ndarray, windo
     if len(order):
         new = np.concatenate([[True], ~shared_prefix(text, order[:-1], order[1:], window)])
         starts = np.flatnonzero(new)
-        total = np.add.reduceat(weights[owner[order]], starts)
-        flags[order] = np.repeat(total > 1, np.diff(np.append(starts, len(order))))
+        size = np.diff(np.append(starts, len(order)))
+        flags[order] = np.repeat(size > 1, size)
     return [flags[a : a + n] for a, n in zip(base.tolist(), counts.tolist(), strict=True)]
 
 
@@ -132,14 +133,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated rows repeat each other's strings; other columns are not read.
     """
 
+    rows = docs.select(column(docs, id_col).alias(id_col), column(docs, text_col).alias("_text"))
+    free, cut = with_spans(rows, Spec(window, GRAM, False), compare, id_col, "_text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_kept(t, s, window) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            marks = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            out = [_kept(t, s, window) for t, s in zip(b.column(1).to_pylist(), marks, strict=True)]
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]], [id_col, "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
-    return removed(docs, Spec(window, GRAM, False), compare, id_col, text_col).mapInArrow(run, schema)
+    return free.mapInArrow(run, schema).union(cut.mapInArrow(run, schema))
 
 
 def _kept(text: str | None, spans: list[dict] | None, window: int) -> tuple[bytes, int, int, int]:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import row_key
-from kscreen.llm.repeats import Spec, covered, removed, spans
+from kscreen.llm.common import column
+from kscreen.llm.repeats import Spec, covered, with_spans
 
 WINDOW, GRAM = 35, 8
 
@@ -33,8 +33,8 @@ def window_ranks(ids: np.ndarray, window: int) -> np.ndarray:
     return rank
 
 
-def compare(strings: list[bytes], counts: np.ndarray, weights: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each string, which of its first counts[i] windows occur twice or more, string i counting weights[i] times."""
+def compare(strings: list[bytes], counts: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each string, which of its first counts[i] windows occur twice or more in all strings."""
     number: dict[bytes, int] = {}
     parts = [s.split(b" ") for s in strings]
     ids = np.array([number.setdefault(w, len(number)) for p in parts for w in p], np.uint64)
@@ -43,7 +43,7 @@ def compare(strings: list[bytes], counts: np.ndarray, weights: np.ndarray, windo
     base = np.cumsum(sizes) - sizes
     at = np.concatenate([np.arange(a, a + n) for a, n in zip(base, counts, strict=True)]) if len(base) else np.zeros(0, np.int64)
     own = ranks[at]
-    total = np.bincount(own.astype(np.int64), np.repeat(weights, counts))
+    total = np.bincount(own.astype(np.int64))
     flags = total[own.astype(np.int64)] > 1
     return np.split(flags, np.cumsum(counts)[:-1])
 
@@ -57,29 +57,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other's windows; other columns are not read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [_kept(t, s, window) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cols = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]], [id_col, "kept", "n_words", "n_removed"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")]])
-    return removed(docs, Spec(window, GRAM, True), compare, id_col, text_col).mapInArrow(run, schema)
+    rows = docs.select(column(docs, id_col).alias(id_col), column(docs, text_col).alias("_text"))
+    return with_kept(rows, "_text", id_col, window).select(id_col, F.col("_kept").alias("kept"), F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"))
 
 
 def with_kept(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """docs with two more columns: _kept binary, as in ``remove_repeats``, and _n_removed."""
+    """docs with three more columns: _kept binary, as in ``remove_repeats``, _n_words and _n_removed."""
+    free, cut = with_spans(docs, Spec(window, GRAM, True), compare, id_col, text_col)
     at, width = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_kept(t, s, window) for t, s in zip(b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array([x[0] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], [*b.schema.names[:width], "_kept", "_n_removed"])
+            marks = b.column(width).to_pylist() if b.num_columns > width else [None] * b.num_rows
+            out = [_kept(t, s, window) for t, s in zip(b.column(at).to_pylist(), marks, strict=True)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]], [*b.schema.names[:width], "_kept", "_n_words", "_n_removed"])
 
-    rows = docs.select("*", *row_key(F.col(id_col), F.col(text_col)))
-    found = spans(rows.select("k1", "k2", F.col(text_col).alias("text")), Spec(window, GRAM, True), compare)
-    rows = rows.join(found, ["k1", "k2"], "left").select(*docs.columns, "spans")
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()), T.StructField("_n_removed", T.LongType())]))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()), T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    return free.mapInArrow(run, schema).union(cut.mapInArrow(run, schema))
 
 
 def _kept(text: str | None, spans: list[dict] | None, window: int) -> tuple[bytes, int, int]:
