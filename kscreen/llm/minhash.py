@@ -6,11 +6,13 @@ counts, corrected for chance agreement. Pairs whose estimate is within MARGIN of
 or above are confirmed on the full shingle sets. Not all pairs of a bucket are emitted:
 
 1. each member of a bucket (of a block of it, where it has more than BLOCK members) is paired
-   with its likeliest partner; confirmed links give components;
-2. where a bucket still holds several components, the likeliest pair of every two of them is
-   tried, over all pairs of blocks;
-3. where it still does, every remaining pair across components is tried, so no link that could
-   join two components is left out. Links inside a component are not needed for its extent.
+   with its likeliest partner; the pairs are confirmed, and the links give components;
+2. where a bucket still holds several components, its members come together with their sets, two
+   blocks at a time, and every remaining pair across components is tried in place, likeliest
+   first, until it can join nothing more. Only links leave the task, and a pair is tried only in
+   the first band that its two classes share.
+
+Links inside a component are not needed for its extent.
 """
 
 from __future__ import annotations
@@ -100,34 +102,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pairs(mode: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Candidate pairs of cells; rows come sorted by cell: (cell, side, digest, sig, label)."""
-
-    def of_cell(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        left = [r for r in rows if r[1] in (0, 2)]
-        right = [r for r in rows if r[1] in (1, 2)]
-        if not left or not right:
-            return []
-        names = {x: i for i, x in enumerate({r[4] for r in rows})}
-        sig = [np.frombuffer(b"".join(r[3] for r in side), np.uint64).reshape(len(side), -1) for side in (left, right)]
-        label = [np.array([names[r[4]] for r in side]) for side in (left, right)]
-        out: list[tuple[int, int, float]] = []
-        for i in range(0, len(left), 64):
-            e = estimate(sig[0][i : i + 64, None, :], sig[1][None, :, :])
-            e[label[0][i : i + 64, None] == label[1][None, :]] = -1
-            if mode == "best":
-                j = e.argmax(axis=1)
-                best = e[np.arange(len(j)), j]
-                out += [(i + k, int(j[k]), float(best[k])) for k in np.flatnonzero(best >= PERCENT / 100 - MARGIN)]
-            else:
-                out += [(i + k, j, e[k, j]) for k, j in np.argwhere(e >= PERCENT / 100 - MARGIN).tolist()]
-        if mode == "components":
-            likeliest: dict[tuple[int, int], tuple[int, int]] = {}
-            for a, b, _ in sorted(out, key=lambda x: x[2]):
-                la, lb = int(label[0][a]), int(label[1][b])
-                likeliest[min(la, lb), max(la, lb)] = (a, b)
-            return [(left[a][2], right[b][2]) for a, b in likeliest.values()]
-        return [(left[a][2], right[b][2]) for a, b, _ in out]
+def _by_cell(of_cell: Callable[[list[tuple]], list[tuple[bytes, bytes]]]):
+    """Pairs of cells; rows come sorted by cell, the first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: list[tuple] = []
@@ -149,6 +125,65 @@ def _pairs(mode: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def _signatures(rows: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+
+
+def _likeliest(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Each row's likeliest partner of another label; rows: (cell, side, digest, sig, label)."""
+    sig, out = _signatures(rows), []
+    names = {x: i for i, x in enumerate({r[4] for r in rows})}
+    label = np.array([names[r[4]] for r in rows])
+    for i in range(0, len(rows), 64):
+        e = estimate(sig[i : i + 64, None, :], sig[None, :, :])
+        e[label[i : i + 64, None] == label[None, :]] = -1
+        j = e.argmax(axis=1)
+        out += [(rows[i + k][2], rows[j[k]][2]) for k in np.flatnonzero(e[np.arange(len(j)), j] >= PERCENT / 100 - MARGIN)]
+    return out
+
+
+def _remaining(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links that join labels; rows: (cell, side, digest, sig, label, band, bands, shingles)."""
+    left, right = [r for r in rows if r[1] != 1], [r for r in rows if r[1] != 0]
+    if not left or not right:
+        return []
+    sig = [_signatures(side) for side in (left, right)]
+    bands = [np.array([r[6] for r in side], np.int64) for side in (left, right)]
+    names = {x: i for i, x in enumerate({r[4] for r in rows})}
+    label = [np.array([names[r[4]] for r in side]) for side in (left, right)]
+    root = np.arange(len(names))
+    sets: dict[bytes, np.ndarray] = {}
+    out = []
+    for i in range(0, len(left), 64):
+        e = estimate(sig[0][i : i + 64, None, :], sig[1][None, :, :])
+        e[root[label[0][i : i + 64]][:, None] == root[label[1]][None, :]] = -1
+        a, b = np.nonzero(e >= PERCENT / 100 - MARGIN)
+        order = np.argsort(-e[a, b], kind="stable")
+        a, b = a[order] + i, b[order]
+        first = (bands[0][a] == bands[1][b]).argmax(axis=1) == rows[0][5]
+        for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+            p, q = root[label[0][x]], root[label[1][y]]
+            if p == q:
+                continue
+            s, t = (sets.setdefault(r[2], np.frombuffer(r[7], np.uint64)) for r in (left[x], right[y]))
+            if similar(s, t):
+                root[root == max(p, q)] = min(p, q)
+                out.append((left[x][2], right[y][2]))
+    return out
+
+
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets share enough."""
+    if len(s) > len(t):
+        s, t = t, s
+    if 100 * len(s) < PERCENT * len(t):
+        return False
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    common = int((t[at] == s).sum())
+    return 100 * common >= PERCENT * (len(s) + len(t) - common)
+
+
 def _pair_batch(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
     pairs = sorted(found)
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
@@ -156,15 +191,7 @@ def _pair_batch(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(s) > len(t):
-                s, t = t, s
-            at = np.searchsorted(t, s)
-            at[at == len(t)] = 0
-            common = int((t[at] == s).sum())
-            ok.append(100 * common >= PERCENT * (len(s) + len(t) - common))
+        ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
         keep = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
@@ -199,27 +226,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             key = np.asarray(b.column(2).flatten())
             at = np.flatnonzero(shared.passes(key)) if len(key) else np.zeros(0, np.int64)
             own = pa.array(at // BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), b.column(0).take(own), b.column(1).take(own)], ["key", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array((at % BANDS).astype(np.int32)), b.column(0).take(own), b.column(1).take(own)], ["key", "band", "digest", "sig"])
 
-    members = keep(classes.select("digest", "sig", "bands").mapInArrow(members_of, "key long, digest binary, sig binary"), "members")
+    members = keep(classes.select("digest", "sig", "bands").mapInArrow(members_of, "key long, band int, digest binary, sig binary"), "members")
     sizes = members.groupBy("key").count()
     large = keep(sizes.filter(F.col("count") > BLOCK), "large")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    for mode in ("best", "components", "all"):
-        now = members
-        if labels is not None:
-            named = labels.select(F.col("v").alias("digest"), "label")
-            now = keep(members.join(named, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "named")
-            split = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-            now = now.join(keep(split, "open"), "key")
-        else:
-            now = now.withColumn("label", F.col("digest"))
-        pairs = keep(_cells(now, large, mode).mapInArrow(_pairs(mode), "a binary, b binary").distinct(), "pairs")
-        new = keep(_confirmed(pairs, classes, rows, keep), "links")
-        links = new if links is None else links.unionByName(new)
-        if mode == "best" or new.limit(1).count():
-            labels = components(links)
+    pairs = _cells(members.withColumn("label", F.col("digest")), large, False, "sig", "label").mapInArrow(_by_cell(_likeliest), "a binary, b binary")
+    pairs = keep(pairs.distinct(), "pairs")
+    sets = _sets(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), classes, rows, keep)
+    first = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a")
+    both = first.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
+    links = keep(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a binary, b binary"), "links")
+    labels = components(links)
+    named = labels.select(F.col("v").alias("digest"), "label")
+    named = keep(members.join(named, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "named")
+    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    named = keep(named.join(keep(split, "split"), "key"), "open")
+    sets = _sets(named.select("digest").distinct(), classes, rows, keep)
+    sets = sets.join(classes.select("digest", "bands"), "digest")
+    open_ = _cells(named, large, True, "sig", "label", "band").join(keep(sets, "open-sets"), "digest")
+    open_ = open_.select("cell", "side", "digest", "sig", "label", "band", "bands", "shingles").repartition("cell").sortWithinPartitions("cell")
+    more = keep(open_.mapInArrow(_by_cell(_remaining), "a binary, b binary"), "more-links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     named = signed.join(labels.select(F.col("v").alias("digest"), "label"), "digest", "left")
     # texts without shingles stand for themselves
     own = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.monotonically_increasing_id().cast("string"))).cast("binary")
@@ -230,28 +259,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.join(least, "label").select("id", "k1", "k2", "n_shingles", "component_id")
 
 
-def _cells(members: DataFrame, large: DataFrame, mode: str) -> DataFrame:
-    """Rows (cell, side, digest, sig, label) sorted by cell in each partition. side: 2 both, 0 and 1 of two blocks.
+def _cells(members: DataFrame, large: DataFrame, pairs_of_blocks: bool, *keep: str) -> DataFrame:
+    """Rows (cell, side, digest, keep...), sorted by cell in each partition. side: 2 both, 0 and 1 of two blocks.
 
-    A bucket of more than BLOCK members is dealt into blocks; in the first round every block is a
-    cell, later every two blocks are.
+    A bucket of more than BLOCK members is dealt into blocks; a block is a cell, or every two are.
     """
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("digest", "key"), blocks.cast("long")).cast("int")
     rows = members.join(large, "key", "left")
-    if mode == "best":
-        rows = rows.select(F.xxhash64("key", F.when(F.col("count").isNull(), -1).otherwise(own)).alias("cell"), F.lit(2).alias("side"), "digest", "sig", "label")
-    else:
-        other = F.when(F.col("count").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))
-        rows = rows.select("*", F.coalesce(own, F.lit(-1)).alias("own"), F.explode(other).alias("other"))
-        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-        rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), "digest", "sig", "label")
-    return rows.repartition("cell").sortWithinPartitions("cell")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    if not pairs_of_blocks:
+        rows = rows.select(F.xxhash64("key", F.when(F.col("count").isNull(), -1).otherwise(own)).alias("cell"), F.lit(2).alias("side"), "digest", *keep)
+        return rows.repartition("cell").sortWithinPartitions("cell")
+    other = F.when(F.col("count").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    rows = rows.select("*", F.coalesce(own, F.lit(-1)).alias("own"), F.explode(other).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side.alias("side"), "digest", *keep)
+
+
+def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(digest, shingles) of the wanted classes; only texts that are wanted are shuffled."""
     wanted = keep(classes.join(keep(wanted, "wanted"), "digest").select("digest", "row.k1", "row.k2"), "wanted-rows")
     passing = BitFilter(wanted, "k2", wanted.count())
 
@@ -264,10 +290,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, keep: Call
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sets, pa.binary())], ["k1", "k2", "shingles"])
 
     sets = rows.select("k1", "k2", "text").mapInArrow(sets_of, "k1 long, k2 long, shingles binary").groupBy("k1", "k2").agg(F.first("shingles").alias("shingles"))
-    sets = keep(wanted.join(sets, ["k1", "k2"]).select("digest", "shingles"), "sets")
-    first = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a")
-    both = first.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_confirm, "a binary, b binary")
+    return keep(wanted.join(sets, ["k1", "k2"]).select("digest", "shingles"), "sets")
 
 
 def brute_force(ids: list[int], texts: list[str | None]) -> dict[int, tuple[int, int, bool]]:
