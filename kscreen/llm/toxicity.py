@@ -32,10 +32,14 @@ from kscreen.llm.common import column
 SAMPLE_ROWS = 1500
 #: Characters of text of each class that are taken to the driver at most.
 SAMPLE_CHARS = 40_000_000
-SIGNIFICANT = 16.0
+SIGNIFICANT = 30.0
 BASE_WORDS, DICTIONARY_BYTES = 2500, 16_384
 #: Saved share from which a window counts.
-THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5)
+THRESHOLDS = (0.3, 0.4, 0.5)
+#: Shorter words save a large share by chance; they are not windows of their own.
+SHORTEST = 4
+#: Words from which a text's length counts against chance passes.
+LONG = 100
 CACHE_LIMIT = 400_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&/\\|=+-_~`^@…«»„“”‘’¡¿"
 
@@ -111,6 +115,8 @@ class Dictionaries:
 
     def level(self, word: str) -> int:
         """How many of THRESHOLDS the window's distance reaches."""
+        if len(word) < SHORTEST:
+            return 0
         got = self.cache.get(word)
         if got is None:
             if self.ready is None:
@@ -126,14 +132,14 @@ class Dictionaries:
         return got
 
     def features(self, words: list[str]) -> list[float]:
-        """Windows at each level, logarithmic, and the share of the text that they make."""
+        """Windows at each level and windows in all, logarithmic: chance passes grow with a text's length."""
         counts = [0] * (len(THRESHOLDS) + 1)
         get, level = self.cache.get, self.level
         for w in words:
             k = get(w)
             counts[level(w) if k is None else k] += 1
         high = counts[1:]
-        return [math.log1p(x) for x in high] + [20 * sum(high[2:]) / max(20, len(words))]
+        return [math.log1p(x) for x in high] + [max(0.0, math.log(max(1, len(words)) / LONG))]
 
 
 def fit_dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> Dictionaries:
@@ -157,9 +163,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x, strict=True))))))
 
 
-def fit(rows: list[tuple[str | None, int]], folds: int = 3) -> Model:
-    """rows: texts and labels (1 toxic). The thresholds' weights come from folds left out in turn."""
-    data = [(windows(t), y) for t, y in rows]
+def fit(rows: list[tuple], folds: int = 3) -> Model:
+    """rows: texts, labels (1 toxic) and, where classes were sampled unevenly, how many labelled rows
+    each stands for. The thresholds' weights come from folds left out in turn."""
+    data = [(windows(r[0]), r[1]) for r in rows]
+    share = np.array([r[2] if len(r) > 2 else 1.0 for r in rows])
+    share = np.concatenate([share[k::folds] for k in range(folds)]) if len(share) else share
     xs, ys = [], []
     for k in range(folds):
         rest = [d for i, d in enumerate(data) if i % folds != k]
@@ -167,10 +176,10 @@ def fit(rows: list[tuple[str | None, int]], folds: int = 3) -> Model:
         for w, y in data[k::folds]:
             xs.append(own.features(w))
             ys.append(y)
-    return Model(fit_dictionaries([w for w, y in data if y], [w for w, y in data if not y]), _logistic(np.array(xs), np.array(ys, float)))
+    return Model(fit_dictionaries([w for w, y in data if y], [w for w, y in data if not y]), _logistic(np.array(xs), np.array(ys, float), share))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 0.05) -> list[float]:
     """Newton's method; a text without marked windows keeps the class share seen among such texts."""
     if not len(y):
         return [-5.0] + [0.0] * (len(THRESHOLDS) + 1)
@@ -178,21 +187,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-4
+    share = share * len(share) / share.sum()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (share * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (share * (y - p)) - penalty * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-7:
             break
     return w.tolist()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> list[tuple[str | None, int]]:
-    """At most rows labelled texts of each class, whole, in the order of a hash of their ids.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> list[tuple[str | None, int, float]]:
+    """At most rows labelled texts of each class, whole, in the order of a hash of their ids: (text, label, labelled rows it stands for).
 
     Rows whose crc32(id as text) mod 4 is 2 are held out; rows with a null id or label are skipped.
     """
     lab = labels.select(column(labels, id_col).alias("_id"), column(labels, label_col).cast("int").alias("_y")).filter("_id is not null and _y is not null and crc32(cast(_id as string)) % 4 != 2")
+    labelled = [0, 0]
+    for r in lab.groupBy((F.col("_y") == 1).alias("toxic")).count().collect():
+        labelled[int(r[0])] = r[1]
     parts = [lab.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     texts = docs.select(column(docs, id_col).alias("_id"), column(docs, text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most 2 x rows
@@ -203,7 +216,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         if used[y] < SAMPLE_CHARS:
             used[y] += len(r._text or "")
             out.append((r._text, y))
-    return out
+    taken = [sum(y == c for _, y in out) for c in (0, 1)]
+    return [(t, y, labelled[y] / taken[y]) for t, y in out]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

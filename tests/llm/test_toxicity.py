@@ -33,7 +33,7 @@ def test_all_rows_and_labels_only_from_training(spark, docs_of, labelled):
     docs = docs_of(texts)
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(labelled)] + [(None, 1), (3, None), (10**9, 1)], "doc_id long, toxic int")
     rows = X.training_rows(docs, labels)
-    used = {t for t, _ in rows}
+    used = {r[0] for r in rows}
     assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i, t in enumerate(texts[: len(labelled)]) if t in used and texts.count(t) == 1)
     model = X.fit(rows)
     out = {r.doc_id: r.score for r in X.score(docs, model).collect()}
