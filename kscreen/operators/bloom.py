@@ -6,6 +6,7 @@ Two hash families: md5 (built in, the same in any engine) and the Jenkins hash (
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from kscreen.functions.jenkins import SEEDS, hash36
 from kscreen.functions.params import Sizing
 
+#: Bits of a filter that is sent to the executors whole at most (32 MB).
+SHIP_BITS = 1 << 28
+
 
 def md5_place(kmer: Column, i: int, bits: int) -> Column:
     """Hash number i of a k-mer: 36 bits of an md5, modulo the number of bits."""
@@ -40,16 +44,22 @@ def build(kmers: DataFrame, sizing: Sizing) -> DataFrame:
 
 
 def contains(queries: DataFrame, filter_words: DataFrame, sizing: Sizing) -> DataFrame:
-    """Distinct k-mers with in_filter: a join on the word, then all bits set. No false negatives.
+    """queries (distinct k-mers in kmer; other columns are kept) with in_filter: all bits set. No false negatives.
 
-    The words are joined by key whatever their size; the engine broadcasts them only if it finds
-    them small.
+    A filter of at most ``SHIP_BITS`` goes to every task as one row, and a k-mer's hashes are taken
+    only until a bit is missing; nothing is shuffled. Beyond that, the words are joined by key.
     """
-    probes = queries.select("kmer", F.explode(F.array_distinct(md5_places(F.col("kmer"), sizing.n_hashes, sizing.bits))).alias("place"))
+    if sizing.bits <= SHIP_BITS:
+        every = queries.sparkSession.range(-(-sizing.bits // 64)).withColumnRenamed("id", "word_idx").join(filter_words, "word_idx", "left")
+        held = every.agg(F.sort_array(F.collect_list(F.struct("word_idx", F.coalesce("word", F.lit(0)).alias("word"))))["word"].alias("_words"))
+        places = [md5_place(F.col("kmer"), i, sizing.bits) for i in range(sizing.n_hashes)]
+        hits = [F.get("_words", F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in places]
+        return queries.crossJoin(F.broadcast(held)).select(*queries.columns, reduce(Column.__and__, hits).alias("in_filter"))
+    probes = queries.select("*", F.explode(F.array_distinct(md5_places(F.col("kmer"), sizing.n_hashes, sizing.bits))).alias("place"))
     probes = probes.withColumn("word_idx", F.shiftright("place", 6))
     found = probes.join(filter_words, "word_idx", "left")
     hit = F.coalesce(F.col("word").bitwiseAND(bit(F.col("place"))) != 0, F.lit(False))
-    return found.groupBy("kmer").agg(F.bool_and(hit).alias("in_filter"))
+    return found.groupBy(*queries.columns).agg(F.bool_and(hit).alias("in_filter"))
 
 
 def jenkins_places(kmers: DataFrame, sizing: Sizing) -> DataFrame:

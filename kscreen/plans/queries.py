@@ -66,12 +66,12 @@ def bloom_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-mers of the documents' first tiles against the filter and the exact set."""
-    asked = reads(spark, sf_dir).filter("tile_no = 0").select(F.explode(kmers.kmer_array(F.col("seq"), K)).alias("kmer")).distinct()
-    found = bloom.contains(asked, bloom_words(spark, sf_dir), SIZING)
-    exact = reference(spark, sf_dir).withColumn("exact", F.lit(True))
-    both = found.join(exact, "kmer", "left").select("in_filter", F.coalesce("exact", F.lit(False)).alias("in_set"))
-    return both.groupBy("in_filter", "in_set").agg(F.count("*").alias("n"))
+    """Distinct k-mers of all tiles against the filter and the exact set, brought together by one aggregation."""
+    asked = reads(spark, sf_dir).select(F.explode(kmers.kmer_array(F.col("seq"), K)).alias("kmer"), F.lit(True).alias("asked"), F.lit(False).alias("in_set"))
+    exact = reference(spark, sf_dir).select("kmer", F.lit(False).alias("asked"), F.lit(True).alias("in_set"))
+    both = asked.union(exact).groupBy("kmer").agg(F.bool_or("asked").alias("asked"), F.bool_or("in_set").alias("in_set"))
+    found = bloom.contains(both.filter("asked").select("kmer", "in_set"), bloom_words(spark, sf_dir), SIZING)
+    return found.groupBy("in_filter", "in_set").agg(F.count("*").alias("n"))
 
 
 def bloom_jenkins(spark: SparkSession, sf_dir: str) -> DataFrame:
