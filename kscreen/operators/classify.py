@@ -137,10 +137,13 @@ def _shipped(reads: DataFrame, known: list[str], k: int, seq_col: str, both: boo
     return reads.mapInArrow(run, T.StructType([*reads.schema.fields, *[f for p in prefixes for f in _fields(p)]]))
 
 
-def _joined(reads: DataFrame, reference: DataFrame, k: int, seq: Column, prefix: str, key: list[str]) -> DataFrame:
-    """(key, STRAND columns with the prefix) of reads that have a match, by an equi-join of windows with the set."""
+def _joined(reads: DataFrame, reference: DataFrame, k: int, seq: Column, prefix: str, key: list[str], *by: str) -> DataFrame:
+    """(key, by, STRAND columns with the prefix) of reads that have a match, by an equi-join of windows with the set.
+
+    by: columns of reference that split the set into filters.
+    """
     windows = reads.select(*key, F.length(seq).alias("_n"), F.posexplode(kmer_array(seq, k)).alias("_pos", "kmer"))
-    hits = windows.join(reference, "kmer").groupBy(*key).agg(F.array_sort(F.collect_set("_pos")).alias("_p"), F.first("_n").alias("_n"))
+    hits = windows.join(reference, "kmer").groupBy(*key, *by).agg(F.array_sort(F.collect_set("_pos")).alias("_p"), F.first("_n").alias("_n"))
     p, n = F.col("_p"), F.col("_n")
     before = F.transform("_p", lambda x, i: F.when(i > 0, F.get("_p", i - 1)))
     anchor = F.size(F.filter(p, lambda x: (x % k == 0) | (x == n - k))).cast("long")
@@ -151,7 +154,15 @@ def _joined(reads: DataFrame, reference: DataFrame, k: int, seq: Column, prefix:
         "gate": anchor > 0,
         "anchor_hits": anchor,
     }
-    return hits.select(*key, *[v.alias(f"{prefix}_{c}") for c, v in values.items()])
+    return hits.select(*key, *by, *[v.alias(f"{prefix}_{c}") for c, v in values.items()])
+
+
+def _sides(seq_col: str, both: bool) -> list[tuple[str, Column]]:
+    return [("fwd", F.col(seq_col)), ("rev", revcomp(F.col(seq_col)))][: 2 if both else 1]
+
+
+def _none(prefix: str) -> dict[str, int | bool]:
+    return {f"{prefix}_{c}": False if c == "gate" else 0 for c in STRAND}
 
 
 def window_counts(reads: DataFrame, reference: DataFrame, k: int, key: list[str], seq_col: str = "seq", both: bool = True, ship: int | None = None) -> DataFrame:
@@ -164,25 +175,35 @@ def window_counts(reads: DataFrame, reference: DataFrame, k: int, key: list[str]
     if len(known) <= limit:
         return _shipped(reads, known, k, seq_col, both)
     out = reads
-    for prefix, seq in (("fwd", F.col(seq_col)), ("rev", revcomp(F.col(seq_col))))[: 2 if both else 1]:
-        out = out.join(_joined(reads, reference, k, seq, prefix, key), key, "left").na.fill({f"{prefix}_{c}": False if c == "gate" else 0 for c in STRAND})
+    for prefix, seq in _sides(seq_col, both):
+        out = out.join(_joined(reads, reference, k, seq, prefix, key), key, "left").na.fill(_none(prefix))
     return out
 
 
-def filter_counts(reads: DataFrame, reference: DataFrame, filter_col: str, k: int, seq_col: str = "seq", both: bool = True) -> DataFrame:
+def filter_counts(
+    reads: DataFrame, reference: DataFrame, filter_col: str, k: int, seq_col: str = "seq", both: bool = True, key: list[str] | None = None, ship: int | None = None
+) -> DataFrame:
     """The same for the pairs of a read and a filter of reference (filter_col long, kmer) that have a match.
 
     All filters are looked up at once, so a read's windows are hashed once however many filters
-    there are, and pairs without a match make no row. The filters must fit ``SHIP_KMERS``
-    together; screen further ones in blocks of filters.
+    there are, and pairs without a match make no row. Beyond ``ship`` k-mers of all filters
+    together, windows are joined to the filters' k-mers; key names a read and is needed then.
     """
+    limit = SHIP_KMERS if ship is None else ship
     known: dict[str, list[int]] = {}
     total = 0
-    for r in reference.select(filter_col, "kmer").limit(SHIP_KMERS + 1).toLocalIterator():
+    for r in reference.select(filter_col, "kmer").limit(limit + 1).toLocalIterator():
         known.setdefault(r[1], []).append(r[0])
         total += 1
-    if total > SHIP_KMERS:
-        raise ValueError(f"more than {SHIP_KMERS} k-mers; screen against fewer filters at once")
+    if total > limit:
+        if not key:
+            raise ValueError(f"more than {limit} k-mers: key has to name a read")
+        pairs = None
+        for prefix, seq in _sides(seq_col, both):
+            side = _joined(reads, reference.select(filter_col, "kmer"), k, seq, prefix, key, filter_col)
+            pairs = side if pairs is None else pairs.join(side, [*key, filter_col], "full")
+        out = reads.join(pairs.na.fill({n: v for prefix, _ in _sides(seq_col, both) for n, v in _none(prefix).items()}), key)
+        return out.select(*reads.columns, *[c for c in pairs.columns if c not in key])
     at = reads.columns.index(seq_col)
     prefixes = ("fwd", "rev") if both else ("fwd",)
     names = [*reads.columns, filter_col, *[f"{p}_{c}" for p in prefixes for c in STRAND]]

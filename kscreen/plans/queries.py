@@ -118,7 +118,7 @@ def report_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 def per_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item is a filter of its own; all are screened in one pass."""
     rows, known = reads(spark, sf_dir), reference(spark, sf_dir, "item_id")
-    matched = classify.verdicts(classify.filter_counts(rows, known, "item_id", K), K, THRESHOLD)
+    matched = classify.verdicts(classify.filter_counts(rows, known, "item_id", K, key=KEY), K, THRESHOLD)
     return _rounded(report.filter_report(matched, rows, known, "item_id", K))
 
 

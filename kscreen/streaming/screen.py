@@ -12,7 +12,7 @@ from kscreen.plans.folders import scratch
 
 
 def classified_stream(docs: DataFrame, reference: DataFrame, k: int, threshold: float, tile: int) -> DataFrame:
-    """A stream of documents as classified tiles; the reference must be small enough to ship."""
+    """Documents as classified tiles. A stream itself needs a reference small enough to ship; a batch of one does not."""
     tiles = kmers.tiles(docs, "text", tile, "doc_id")
     return classify.verdicts(classify.window_counts(tiles, reference, k, ["doc_id", "tile_no"]), k, threshold)
 
@@ -33,16 +33,19 @@ def split_batches(path: str):
 
 
 def streamed_report(spark: SparkSession, sf_dir: str, reference: DataFrame, k: int, threshold: float, tile: int) -> DataFrame:
-    """The report of documents read as a file stream, to its end; per-batch sums are written and added up."""
+    """The report of documents read as a file stream, to its end; per-batch sums are written and added up.
+
+    Each batch is classified as a table of its own, so that the reference may be of any size.
+    """
     source = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(source).schema
     out = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.agg(*report.totals()).write.mode("overwrite").parquet(f"{out}/sums/batch={number}")
+        classified_stream(batch, reference, k, threshold, tile).agg(*report.totals()).write.mode("overwrite").parquet(f"{out}/sums/batch={number}")
 
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(source)
-    query = classified_stream(docs, reference, k, threshold, tile).writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query = docs.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     names = ("total_read_count", "contaminated_reads", "total_hits", "all_k")
     sums = spark.read.parquet(f"{out}/sums").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])

@@ -54,3 +54,22 @@ def test_filter_joined_or_shipped(spark, tables, monkeypatch):
     assert sorted(shipped) == sorted(bloom.contains(asked, bloom.build(known, sizing), sizing).collect())
     want = membership(docs, items, sizing)
     assert sum(r.in_filter for r in shipped) == want[True, True] + want[True, False] > want[True, True]
+
+
+def test_items_beyond_ship(spark, tables, monkeypatch):
+    d, docs, _ = tables
+    from kscreen.functions.text import revcomp
+    from kscreen.operators import classify
+
+    rows, known = queries.reads(spark, d), queries.reference(spark, d, "item_id")
+    rows = rows.unionByName(rows.select((-rows.doc_id - 1).alias("doc_id"), "tile_no", revcomp(rows.seq).alias("seq")))
+    order = lambda df: sorted(tuple(r[c] for c in sorted(r.asDict())) for r in df.collect())
+    for both in (True, False):
+        counted = [classify.filter_counts(rows, known, "item_id", queries.K, both=both, key=queries.KEY, ship=ship) for ship in (None, 0)]
+        assert counted[0].columns == counted[1].columns
+        assert len(order(counted[0])) > 20 and order(counted[0]) == order(counted[1])
+    shipped, streamed = queries.per_item_report(spark, d).collect(), queries.stream_report(spark, d).collect()
+    assert sum(r.total_hits for r in shipped) > 100
+    monkeypatch.setattr(classify, "SHIP_KMERS", 10)
+    assert sorted(queries.per_item_report(spark, d).collect()) == sorted(shipped)
+    assert queries.stream_report(spark, d).collect() == streamed
