@@ -13,7 +13,7 @@ from kscreen.operators import bloom, classify, compare, kmers, report, sampling
 
 K, TILE, THRESHOLD = 15, 120, 0.4
 KEY = ["doc_id", "tile_no"]
-#: Filter of the queries: room for 20,000 k-mers at an error rate of 0.005.
+#: Least filter of the queries: room for 20,000 k-mers at an error rate of 0.005.
 SIZING = params.sizing(20_000, 0.005)
 THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
@@ -57,12 +57,18 @@ def param_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("doc_id", "n_bytes", "k", params.match_threshold(F.col("k")).alias("threshold"), params.hit_probability(F.col("k")).alias("hit_probability"))
 
 
+def filter_sizing(spark: SparkSession, sf_dir: str) -> params.Sizing:
+    """SIZING, or room for all distinct k-mers of the benchmark (counted) where it has more."""
+    n = reference(spark, sf_dir).count()
+    return SIZING if n <= SIZING.capacity else params.sizing(n, SIZING.error_rate)
+
+
 def filter_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.info(reference(spark, sf_dir), K, SIZING)
+    return bloom.info(reference(spark, sf_dir), K, filter_sizing(spark, sf_dir))
 
 
 def bloom_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.build(reference(spark, sf_dir), SIZING)
+    return bloom.build(reference(spark, sf_dir), filter_sizing(spark, sf_dir))
 
 
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +76,13 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = reads(spark, sf_dir).select(F.explode(kmers.kmer_array(F.col("seq"), K)).alias("kmer"), F.lit(True).alias("asked"), F.lit(False).alias("in_set"))
     exact = reference(spark, sf_dir).select("kmer", F.lit(False).alias("asked"), F.lit(True).alias("in_set"))
     both = asked.union(exact).groupBy("kmer").agg(F.bool_or("asked").alias("asked"), F.bool_or("in_set").alias("in_set"))
-    found = bloom.contains(both.filter("asked").select("kmer", "in_set"), bloom_words(spark, sf_dir), SIZING)
+    sizing = filter_sizing(spark, sf_dir)
+    found = bloom.contains(both.filter("asked").select("kmer", "in_set"), bloom.build(reference(spark, sf_dir), sizing), sizing)
     return found.groupBy("in_filter", "in_set").agg(F.count("*").alias("n"))
 
 
 def bloom_jenkins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.build_jenkins(reference(spark, sf_dir), SIZING)
+    return bloom.build_jenkins(reference(spark, sf_dir), filter_sizing(spark, sf_dir))
 
 
 def screen_hits_semi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,20 @@ def test_items_beyond_ship(spark, tables, monkeypatch):
     monkeypatch.setattr(classify, "SHIP_KMERS", 10)
     assert sorted(queries.per_item_report(spark, d).collect()) == sorted(shipped)
     assert queries.stream_report(spark, d).collect() == streamed
+
+
+def test_filter_holds_a_large_benchmark(spark, tmp_path):
+    d, rng = str(tmp_path), random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    items, docs = [(i, text(3000)) for i in range(20)], [(i, text(2000)) for i in range(10)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    n = len({w for _, s in items for w in windows(s)})
+    info = queries.filter_info(spark, d).first()
+    assert info.capacity == info.inserts == n > 20_000
+    sizing = params.sizing(n, 0.005)
+    for words in (queries.bloom_words(spark, d), queries.bloom_jenkins(spark, d)):
+        assert 0.4 < sum((r.word & (1 << 64) - 1).bit_count() for r in words.collect()) / sizing.bits < 0.55
+    got = {(r.in_filter, r.in_set): r.n for r in queries.bloom_membership(spark, d).collect()}
+    assert got == membership(docs, items, sizing)
+    assert got.get((True, False), 0) < 0.02 * got[False, False]
