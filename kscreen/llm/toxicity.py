@@ -36,7 +36,8 @@ SIGNIFICANT = 30.0
 BASE_WORDS, DICTIONARY_BYTES = 2500, 16_384
 #: Saved share from which a window counts.
 THRESHOLDS = (0.3, 0.4, 0.5)
-#: Shorter words save a large share by chance; they are not windows of their own.
+#: Shorter words save a large share by chance, or nothing, as a match costs as much as they do: those
+#: that the toxic dictionary was trained on reach every threshold, others none.
 SHORTEST = 4
 #: Words from which a text's length counts against chance passes.
 LONG = 100
@@ -94,11 +95,12 @@ class Dictionaries:
     toxic: bytes
     ordinary: bytes
     tail: bytes
+    short: frozenset[str] = frozenset()
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     ready: list | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "tail": self.tail, "cache": {}, "ready": None}
+        return {"toxic": self.toxic, "ordinary": self.ordinary, "tail": self.tail, "short": self.short, "cache": {}, "ready": None}
 
     def _open(self) -> list:
         out = []
@@ -116,7 +118,7 @@ class Dictionaries:
     def level(self, word: str) -> int:
         """How many of THRESHOLDS the window's distance reaches."""
         if len(word) < SHORTEST:
-            return 0
+            return len(THRESHOLDS) if word in self.short else 0
         got = self.cache.get(word)
         if got is None:
             if self.ready is None:
@@ -146,11 +148,11 @@ def fit_dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> Dicti
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
     a, b = _frequencies(toxic), _frequencies(ordinary)
     na, nb = max(1, len(toxic)), max(1, len(ordinary))
-    marked = sorted((w for w in a if len(w) > 2 and a[w] > 1 and _ratio(a[w], b[w], na, nb) >= SIGNIFICANT), key=lambda w: (a[w], w))
+    marked = sorted((w for w in a if a[w] > 1 and _ratio(a[w], b[w], na, nb) >= SIGNIFICANT), key=lambda w: (a[w], w))
     common = sorted((w for w in b if w not in set(marked)), key=lambda w: (b[w], w))
     base, own = common[-BASE_WORDS:], common[-BASE_WORDS - max(len(marked), 20) : -BASE_WORDS]
     shared = f" {' '.join(base)} ".encode()
-    return Dictionaries(_trained(marked, a, DICTIONARY_BYTES) + shared, _trained(own, b, DICTIONARY_BYTES) + shared, shared[-40:] or b" ordinary text follows here as a tail    ")
+    return Dictionaries(_trained(marked, a, DICTIONARY_BYTES) + shared, _trained(own, b, DICTIONARY_BYTES) + shared, shared[-40:] or b" ordinary text follows here as a tail    ", frozenset(w for w in marked if len(w) < SHORTEST))
 
 
 @dataclass

@@ -49,3 +49,10 @@ def test_no_labels(spark, docs_of):
 
 def test_one_class_only():
     assert 0 <= X.fit([("some ordinary words", 0)] * 5).score("other words") < 0.3
+
+
+@pytest.mark.parametrize("bad", [["zqx", "qzk", "xjz"], ["zq", "qx"], ["żół", "злы"]])
+def test_short_words_are_evidence(prose, rng, bad):
+    rows = [(prose(60) + " " + " ".join(rng.choices(bad, k=3)) * (i % 4 == 0), int(i % 4 == 0)) for i in range(240)]
+    model = X.fit(rows[:180])
+    assert all((model.score(t) >= 0.3) == (y == 1) for t, y in rows[180:])
