@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each task takes the distinct pre-token matches of its documents as one corpus. An inverted
+A task resolves its documents 512 at a time (``UnitCache.encode``); the distinct pre-token matches
+of those units among them that the worker's cache does not hold are one corpus. An inverted
 index maps the rank of a token pair to the positions where that pair stands; ranks are taken
 in order, every listed position is merged, and only the two pairs beside a merge are looked up
 again. A word whose merge opens a pair of lower rank than the one in hand (possible when one
