@@ -19,9 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate group."""
+    """One document of each near-duplicate group: that of the least id, null last, and the least key where ids repeat."""
     found = minhash.near_duplicates(docs)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("k1", "k2").distinct()
+    blank = [F.when(F.col("n_shingles") == 0, F.col(c)) for c in ("k1", "k2")]  # such texts are no copies of each other
+    least = found.groupBy("label", *[c.alias(f"own{i}") for i, c in enumerate(blank)]).agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("least"))
+    kept = least.select("least.k1", "least.k2").distinct()
     rows = docs.select(*COLUMNS, *row_key(F.col("doc_id"), F.col("text")))
     # equal rows have equal keys: one of them stays
     return rows.join(kept, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select(*COLUMNS)

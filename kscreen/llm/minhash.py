@@ -197,12 +197,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k1, k2, n_shingles, component_id) of every row of docs; see ``common.row_key`` for k1 and k2.
+    """(id, k1, k2, n_shingles, label, component_id) of every row of docs; see ``common.row_key`` for k1 and k2.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D after A-Z are lower-cased. Null, empty
     and blank texts have no shingles and are components of their own; equal texts, and repeated
-    rows, are one component; a component's id is its least id (null if all are null); other
-    columns are not read.
+    rows, are one component; a component's id is its least id (null if all are null); rows with
+    shingles are of one component exactly where label is the same; other columns are not read.
     """
     spark = docs.sparkSession
     done: list[str] = []
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = written(named, "near-rows")
     least = written(named.groupBy("label").agg(F.min("id").alias("component_id")), "near-least")
     remove(spark, *done)
-    return named.join(least, "label").select("id", "k1", "k2", "n_shingles", "component_id")
+    return named.join(least, "label").select("id", "k1", "k2", "n_shingles", "label", "component_id")
 
 
 def _cells(members: DataFrame, large: DataFrame, pairs_of_blocks: bool, *keep: str) -> DataFrame:

@@ -37,3 +37,14 @@ def test_registered():
 
     found = {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
     assert found == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+
+
+def test_one_row_stays_of_each_near_group(spark, prose):
+    a, b = prose(200), prose(200)
+    rows = [(None, a), (None, a + " more"), (None, a + " words"), (7, b), (7, b + " more"), (9, b + " words"), (9, prose(200)), (5, ""), (5, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, SF).collect()]
+    assert sum((t or "").startswith(a) for _, t in kept) == 1
+    assert [i for i, t in kept if (t or "").startswith(b)] == [7]
+    assert rows[6] in kept and {(5, ""), (5, None), (None, " ")} <= set(kept)
+    assert len(kept) == 6
