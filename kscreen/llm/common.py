@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,21 @@ def column(df: DataFrame, name: str) -> Column:
 def row_key(id_col: Column, text_col: Column) -> list[Column]:
     """Two longs that stand for a row: rows with equal keys have equal id and text."""
     return [F.coalesce(id_col.cast("long"), F.lit(0)).alias("k1"), F.xxhash64(id_col.cast("long"), text_col).alias("k2")]
+
+
+#: Bytes of texts that a Python worker turns into objects at once (one text at least).
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, text_col: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch whose texts have at most ``most`` bytes, or one row: Spark cuts
+    batches by rows, so that a batch of long texts may be large."""
+    texts = batch.column(text_col)
+    if not batch.num_rows:
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + batch.num_rows + 1].astype(np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b

@@ -19,9 +19,9 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kscreen.llm.token_store import read_store, with_crc, write_store
+    from kscreen.llm.token_store import read_crc, write_store
 
-    return with_crc(read_store(write_store(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY_JSON), 2)))
+    return read_crc(write_store(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY_JSON), 2))
 
 
 def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +51,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from kscreen.llm.bpe import digests, encode
+    from kscreen.llm.bpe import digests
 
-    path = vocabulary(VOCABULARY_RANKS)
-    return digests(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return digests(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY_RANKS), public_tokenizers.PATTERN)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
