@@ -45,8 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
     import public_tokenizers
 
-    path = vocabulary(VOCABULARY_RANKS)
-    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return bpe.digests(docs, vocabulary(VOCABULARY_RANKS), public_tokenizers.PATTERN)
 
 
 STAGES = [
