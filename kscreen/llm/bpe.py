@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import column, slices
+from kscreen.llm.common import slices, taken
 from kscreen.llm.units import UnitCache
 
 #: Stands between words; above every id, so that a pair of ids fits in one number.
@@ -218,7 +218,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], cache: UnitCache) -> Iterator[tu
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(column(docs, id_col).alias("id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
+    return taken(docs, id=id_col, text=text_col).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,9 +56,22 @@ def read_back(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """df's column of exactly that name, whatever other columns differ from it by case only."""
-    return df[next((c for c in df.columns if c == name), name)]
+def taken(df: DataFrame, **names: str) -> DataFrame:
+    """Columns of df under new names (new=old): the first of exactly that name, by place, whatever
+    other columns differ from it by case only."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{df.columns.index(old)}").alias(new) for new, old in names.items()])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until it differs from all of df's columns, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def row_key(id_col: Column, text_col: Column) -> list[Column]:

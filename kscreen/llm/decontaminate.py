@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import column
+from kscreen.llm.common import taken, unused
 
 #: Edits allowed for each hundred characters of an item, and the least length of a piece.
 EDITS_PERCENT, PIECE = 5, 14
@@ -115,7 +115,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
     """The normalised items, in blocks of about BLOCK_CHARS characters; items without text are left out."""
     block: list[tuple[int, str]] = []
     size = 0
-    for r in benchmark.select(column(benchmark, id_col).cast("long").alias("id"), column(benchmark, text_col).alias("text")).toLocalIterator():
+    for r in taken(benchmark, id=id_col, text=text_col).select(F.col("id").cast("long"), "text").toLocalIterator():
         item = normal(r.text)
         if item:
             block.append((r.id, item))
@@ -127,15 +127,20 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs with one more column, _found: array<struct<item_id, distance>>, empty for clean rows.
+def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", out_col: str = "_found") -> DataFrame:
+    """docs with one more column, out_col: array<struct<item_id, distance>>, empty for clean rows.
 
     Null and empty texts are clean; an item with a null id is reported with a null id; equal items
-    are all reported; an empty benchmark leaves all rows clean. Rows are neither shuffled nor
-    collected: each block of items is one more pass within the same task.
+    are all reported, as are items that stand in the same place; repeated rows are judged alike;
+    an empty table gives an empty one, an empty benchmark leaves all rows clean. Very long texts
+    are matched whole, one at a time. docs may have any other columns; one of out_col's name, in
+    any case, raises. Rows are neither shuffled nor collected: each block of items is one more
+    pass within the same task.
     """
+    if unused(docs, out_col) != [out_col]:
+        raise ValueError(f"docs has a column {out_col} already")
     found = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
-    out = docs.withColumn("_found", F.array().cast(found))
+    out = docs.withColumn(out_col, F.array().cast(found))
     schema = out.schema
     text_at = docs.columns.index(text_col)
     for block in item_blocks(benchmark, item_id_col, item_text_col):
@@ -160,11 +165,10 @@ def _pass(block: list[tuple[int, str]], text_at: int):
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, contaminated, n_items, item_ids sorted, min_distance) of every row."""
-    rows = docs.select(column(docs, id_col).alias(id_col), column(docs, text_col).alias("_text"))
-    out = matches(rows, benchmark, "_text")
+    """(id_col, contaminated, n_items, item_ids sorted, min_distance) of every row; cases as in ``matches``."""
+    out = matches(taken(docs, id=id_col, text=text_col), benchmark)
     return out.select(
-        id_col,
+        F.col("id").alias(id_col),
         (F.size("_found") > 0).alias("contaminated"),
         F.size("_found").alias("n_items"),
         F.array_sort(F.transform("_found", lambda x: x["item_id"])).alias("item_ids"),

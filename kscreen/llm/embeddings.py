@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kscreen.llm.common import column, read_back, remove, store, written
+from kscreen.llm.common import read_back, remove, store, taken, written
 from kscreen.llm.components import components
 
 BLOCKS = 4
@@ -164,7 +164,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         done.append(store(x, tag))
         return read_back(x, done[-1])
 
-    rows = df.select(column(df, id_col).cast("long").alias("id"), column(df, vector_col).cast("array<double>").alias("v"))
+    rows = taken(df, id=id_col, v=vector_col).select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
     rows = keep(rows.mapInArrow(_keyed(cosine), "id long, digest binary, raw binary, bins array<long>"), "vectors")
     classes = keep(rows.filter("digest is not null").groupBy("digest").agg(F.first("raw").alias("raw"), F.first("bins").alias("bins"), F.count("*").alias("weight")), "vector-classes")
     dim = (F.octet_length("raw") / 8).cast("int")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kscreen.llm.bitfilter import BitFilter
-from kscreen.llm.common import column, read_back, remove, row_key, store, written
+from kscreen.llm.common import read_back, remove, row_key, slices, store, taken, written
 from kscreen.llm.components import components
 from kscreen.llm.repeats import mix, word_grams, word_hashes
 
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done.append(store(df, tag))
         return read_back(df, done[-1])
 
-    rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text"))
+    rows = taken(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text")
     rows = rows.select("id", *row_key(F.col("id"), F.col("text")), "text")
     signed = keep(rows.mapInArrow(_sign, "id long, k1 long, k2 long, digest binary, n_shingles long, sig binary, bands array<long>"), "signed")
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("row"))

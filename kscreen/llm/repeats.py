@@ -14,7 +14,9 @@ Equal windows have equal minimisers, so windows are only ever compared within a
    minimiser's bucket, where their windows are compared exactly. A minimiser with more than HOT
    strings is split instead: its windows are counted by 128-bit digests, summed before the
    shuffle, and so spread over all tasks;
-4. the spans come back to their rows; only texts that have any are shuffled for it.
+4. the spans come back to their rows as ranges; only texts that have any are shuffled for it.
+
+Texts are taken by slices of a batch that are bounded in bytes, never as a whole batch.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kscreen.llm.bitfilter import BitFilter
-from kscreen.llm.common import column, read_back, remove, row_key, store
+from kscreen.llm.common import read_back, remove, row_key, slices, store, unused
 
 #: Distinct strings of one minimiser above which its windows are counted by digests.
 HOT = 192
@@ -37,7 +41,9 @@ HOT = 192
 CHUNK_BYTES = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
 #: Units of a text whose minimisers are found at once.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
+#: Bytes of a text whose words are hashed at once (one word at least).
+PIECE = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _R = 0x5851F42D4C957F2D
 _SPACE = np.zeros(256, bool)
@@ -71,7 +77,8 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     size = 1 << max(16, n.bit_length())
-    if size not in _POWERS:
+    held = max(_POWERS, default=0)
+    if size > held:
         pair = []
         for r in (_R, pow(_R, -1, 1 << 64)):
             p = np.full(size, r, np.uint64)
@@ -79,12 +86,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             pair.append(np.multiply.accumulate(p))
         _POWERS.clear()
         _POWERS[size] = (pair[0], pair[1])
-    return _POWERS[size]
+        held = size
+    return _POWERS[held]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word; words are runs of bytes other than 0x20 and 0x09-0x0D."""
+    """A hash of each word; words are runs of bytes other than 0x20 and 0x09-0x0D.
+
+    Long texts are taken in pieces of about PIECE bytes that end between words.
+    """
     raw = np.frombuffer(data, np.uint8)
+    if len(raw) <= PIECE:
+        return _word_hashes(raw)
+    out, a = [], 0
+    while a < len(raw):
+        b, step = a + PIECE, PIECE
+        while b < len(raw) and not _SPACE[raw[b]]:  # on to the next white space
+            space = np.flatnonzero(_SPACE[raw[b : b + step]])
+            b, step = (b + int(space[0]) if len(space) else b + step), 2 * step
+        out.append(_word_hashes(raw[a:b]))
+        a = b
+    return np.concatenate(out)
+
+
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
     if not len(raw):
         return np.zeros(0, np.uint64)
     inside = np.concatenate([[False], ~_SPACE[raw], [False]])
@@ -178,6 +203,13 @@ def _spot_column(k2: Column, first: Column) -> Column:
     return k2.bitwiseXOR(first).bitwiseXOR(F.shiftleft(first, 31))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+    """(k1, k2, text as bytes) of each row of a batch of (k1, k2, text)."""
+    for part in slices(batch, 2):
+        for k1, k2, t in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            yield k1, k2, _data(t)
+
+
 def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
     """rows: (k1, k2, text). Returns (k1, k2, spans array<struct<first, n>>): runs of repeated windows' starts."""
     spark = rows.sparkSession
@@ -206,10 +238,9 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
     done.append(shared.path)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for b in batches:
-            out: list[tuple] = []
-            for k1, k2, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                data = _data(t)
+            for k1, k2, data in _rows(b):
                 first, count, anchor = spec.runs(data)
                 if not len(first):
                     continue
@@ -226,75 +257,83 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
                 if len(out) >= 20_000:
                     yield _batch(out, RUN)
                     out = []
-            if out:
-                yield _batch(out, RUN)
+        if out:
+            yield _batch(out, RUN)
 
     found = keep(rows.select("k1", "k2", "text").mapInArrow(listed, "k1 long, k2 long, first long, n long, anchor long, digest binary, more array<long>"), "runs")
     weight = F.size("more") + 1
     strings = found.groupBy("anchor", "digest").agg(F.sum(weight).alias("weight"), F.min(F.struct("k1", "k2", "first")).alias("at"))
-    strings = keep(strings.select("anchor", "digest", "weight", _spot_column(F.col("at.k2"), F.col("at.first")).alias("spot")), "strings")
+    strings = keep(strings.select("anchor", "digest", "weight", F.col("at.k2").alias("k2"), _spot_column(F.col("at.k2"), F.col("at.first")).alias("spot")), "strings")
     kinds = keep(strings.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     # both sides of these joins are plain scans, so that a key of very many rows can be split by the engine
     twice = strings.filter("weight > 1").select("anchor", "digest")
     alone = found.filter(F.size("more") == 0).select("anchor", "digest", "k1", "k2", "first", "n").join(twice, ["anchor", "digest"]).select("k1", "k2", "first", "n")
     inside = found.filter(F.size("more") > 0).select("k1", "k2", F.explode(F.concat(F.array("first"), "more")).alias("first"), "n")
-    open_ = keep(strings.select("anchor", "spot").join(kinds.select("anchor"), "anchor").select("spot"), "open")
+    open_ = keep(strings.select("anchor", "k2", "spot").join(kinds.select("anchor"), "anchor").select("k2", "spot"), "open")
     wanted = BitFilter(open_, "spot", open_.count())
+    asked = BitFilter(open_, "k2", open_.select("k2").distinct().count())
     hot = keep(kinds.filter(F.col("kinds") > HOT).select("anchor"), "hot")
-    n_hot = hot.count()
-    split = BitFilter(hot, "anchor", n_hot)
-    done.extend((wanted.path, split.path))
-
-    def chosen(want_hot: bool, make: Callable[[list[tuple]], pa.RecordBatch]):
-        """Strings of wanted runs whose minimiser is (not) hot. By chance a few more come, which are strings of the corpus too."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out: list[tuple] = []
-                size = 0
-                for k1, k2, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                    data = _data(t)
-                    first, count, anchor = spec.runs(data)
-                    if not len(first):
-                        continue
-                    ok = shared.passes(anchor) & wanted.passes(_spot(np.int64(k2), first)) & (split.passes(anchor) == want_hot)
-                    if not ok.any():
-                        continue
-                    first, count, anchor = first[ok], count[ok], anchor[ok].view(np.int64)
-                    for a, n, h, s in zip(first.tolist(), count.tolist(), anchor.tolist(), spec.strings(data, first, count), strict=True):
-                        out.append((k1, k2, a, n, h, s))
-                        size += (len(s) + 60) * (n if want_hot else 1)
-                    if size >= 4 << 20:
-                        yield make(out)
-                        out, size = [], 0
-                if out:
-                    yield make(out)
-
-        return run
+    split = BitFilter(hot, "anchor", n_hot := hot.count())
+    done.extend((wanted.path, asked.path, split.path))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings of wanted runs. By chance a few more come, which are strings of the corpus too."""
+        out: list[tuple] = []
+        size = 0
+        for b in batches:
+            b = b.filter(pa.array(asked.passes(b.column(1).to_numpy()))) if b.num_rows else b
+            for k1, k2, data in _rows(b):
+                first, count, anchor = spec.runs(data)
+                if not len(first):
+                    continue
+                ok = shared.passes(anchor) & wanted.passes(_spot(np.int64(k2), first))
+                if not ok.any():
+                    continue
+                first, count, anchor = first[ok], count[ok], anchor[ok]
+                is_hot = split.passes(anchor).tolist()
+                for a, n, h, s, x in zip(first.tolist(), count.tolist(), anchor.view(np.int64).tolist(), spec.strings(data, first, count), is_hot, strict=True):
+                    out.append((k1, k2, a, n, h, s, x))
+                    size += len(s) + 60
+                if size >= 4 << 20:
+                    yield _batch(out, STRING)
+                    out, size = [], 0
+        if out:
+            yield _batch(out, STRING)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if size >= CHUNK_BYTES and row[4] != last:
-                    yield _compared(held, spec, compare)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5])
-                last = row[4]
+            for part in slices(b, 5):
+                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    if size >= CHUNK_BYTES and row[4] != last:
+                        yield _compared(held, spec, compare)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[5])
+                    last = row[4]
         if held:
             yield _compared(held, spec, compare)
 
-    def windows(out: list[tuple]) -> pa.RecordBatch:
-        return _batch([(xxhash.xxh3_128_digest(w), k1, k2, a + i) for k1, k2, a, n, _, s in out for i, w in enumerate(spec.windows(s, n))], WINDOW)
-
-    cold = rows.select("k1", "k2", "text").mapInArrow(chosen(False, lambda out: _batch(out, STRING)), "k1 long, k2 long, first long, n long, anchor long, data binary")
-    parts = [alone, inside, cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(bucket, "k1 long, k2 long, first long, n long")]
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, 5, 1 << 18):
+                out = []
+                for k1, k2, a, n, _, s in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    out += [(xxhash.xxh3_128_digest(w), k1, k2, a + i) for i, w in enumerate(spec.windows(s, n))]
+                yield _batch(out, WINDOW)
+
+    picked = keep(rows.select("k1", "k2", "text").mapInArrow(chosen, "k1 long, k2 long, first long, n long, anchor long, data binary, hot boolean"), "picked")
+    cold = picked.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
+    parts = [alone, inside, cold.mapInArrow(bucket, "k1 long, k2 long, first long, n long")]
     if n_hot:
-        exploded = keep(rows.select("k1", "k2", "text").mapInArrow(chosen(True, windows), "window binary, k1 long, k2 long, first long"), "windows")
+        exploded = keep(picked.filter("hot").drop("hot").mapInArrow(windows, "window binary, k1 long, k2 long, first long"), "windows")
         often = keep(exploded.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "often")
-        parts.append(exploded.join(often, "window").select("k1", "k2", "first", F.lit(1).cast("long").alias("n")))
+        single = exploded.join(often, "window").select("k1", "k2", "first")
+        # single windows become ranges: a word of bits for every 64 starts of a row, summed before it is shuffled
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("first").bitwiseAND(F.lit(63)).cast("int"))
+        bits = single.groupBy("k1", "k2", F.shiftright("first", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+        parts.append(bits.select("k1", "k2", "word", "bits").mapInArrow(_ranges_of_bits, "k1 long, k2 long, first long, n long"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -304,9 +343,24 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
     return out
 
 
+def _ranges_of_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, word, bits) to (k1, k2, first, n): each run of set bits of a word."""
+    for b in batches:
+        for i in range(0, b.num_rows, 20_000):
+            part = b.slice(i, 20_000)
+            flags = np.unpackbits(part.column(3).to_numpy().astype("<i8").view(np.uint8), bitorder="little").reshape(-1, 64)
+            edges = np.diff(flags.astype(np.int8), axis=1, prepend=0, append=0)
+            row, start = np.nonzero(edges == 1)
+            end = np.nonzero(edges == -1)[1]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(at), part.column(1).take(at), pa.array(part.column(2).to_numpy()[row] * 64 + start), pa.array(end - start)], schema=SPAN
+            )
+
+
 _LONG = pa.int64()
 RUN = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG), ("anchor", _LONG), ("digest", pa.binary()), ("more", pa.list_(_LONG))])
-STRING = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG), ("anchor", _LONG), ("data", pa.binary())])
+STRING = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG), ("anchor", _LONG), ("data", pa.binary()), ("hot", pa.bool_())])
 WINDOW = pa.schema([("window", pa.binary()), ("k1", _LONG), ("k2", _LONG), ("first", _LONG)])
 SPAN = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG)])
 
@@ -326,35 +380,57 @@ def _compared(held: list[tuple], spec: Spec, compare: Compare) -> pa.RecordBatch
     return _batch([(r[0], r[1], r[2] + a, n) for r, f in zip(held, flags, strict=True) for a, n in ranges(f)], SPAN)
 
 
-def with_spans(docs: DataFrame, spec: Spec, compare: Compare, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows without spans, rows with a column spans): together every row of docs once, all columns.
+#: What becomes of some rows: (the rows, (first, n) of each one's spans) -> further columns.
+Finish = Callable[[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]], list[pa.Array]]
+_NO_SPANS = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def finished(docs: DataFrame, spec: Spec, compare: Compare, id_col: str, text_col: str, finish: Finish, added: T.StructType) -> DataFrame:
+    """Every row of docs with the added columns, which finish makes from the rows and their spans.
 
-    Rows that have no spans are told apart in their own tasks, so that their texts are not shuffled.
+    Rows that have no spans are told apart and finished in their own tasks, so that their texts
+    are not shuffled.
     """
-    keyed = docs.select("*", *[k.alias(f"_{n}") for k, n in zip(row_key(column(docs, id_col), column(docs, text_col)), ("k1", "k2"), strict=True)])
-    found = spans(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), column(docs, text_col).alias("text")), spec, compare)
+    k1, k2, spans_col = unused(docs, "k1", "k2", "spans")
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    keyed = plain.select("*", *[k.alias(n) for k, n in zip(row_key(F.col(f"c{names.index(id_col)}"), F.col(f"c{at}")), (k1, k2), strict=True)])
+    found = spans(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(f"c{at}").alias("text")), spec, compare)
     have = BitFilter(found, "k2", found.count())
-    at = len(docs.columns) + 1
+    width = len(names)
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(f"d{i}", f.dataType) for i, f in enumerate(added.fields)]])
 
-    def those(passing: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    yield b.filter(pa.array(have.passes(b.column(at).to_numpy()) == passing))
+    def those(b: pa.RecordBatch, passing: bool) -> pa.RecordBatch:
+        return b.filter(pa.array(have.passes(b.column(width + 1).to_numpy()) == passing)) if b.num_rows else b
 
-        return run
+    def made(part: pa.RecordBatch, marks: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns[:width], *finish(part, marks)], schema.names)
 
-    free = keyed.mapInArrow(those(False), keyed.schema).drop("_k1", "_k2")
-    found = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    return free, keyed.mapInArrow(those(True), keyed.schema).join(found, ["_k1", "_k2"], "left").select(*docs.columns, "_spans")
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(those(b, False), at):
+                yield made(part, [_NO_SPANS] * part.num_rows)
 
+    def have_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield those(b, True)
 
-def covered(spans_: list[dict] | None, n: int, window: int) -> np.ndarray:
-    """Which of n units a window of the spans covers."""
-    marks = np.zeros(n + 1, np.int64)
-    for s in spans_ or ():
-        marks[s["first"]] += 1
-        marks[s["first"] + s["n"] + window - 1] -= 1
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, at):
+                lists = part.column(width)
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).tolist()
+                flat = lists.flatten()
+                first, n = (pc.struct_field(flat, i).to_numpy() for i in (0, 1))
+                yield made(part, [(first[x:y], n[x:y]) for x, y in zip(ends, ends[1:])])
+
+    found = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans_col))
+    rest = keyed.mapInArrow(have_spans, keyed.schema).join(found, [k1, k2], "left").select(*plain.columns, spans_col)
+    out = keyed.mapInArrow(free, schema).union(rest.mapInArrow(cut, schema))
+    return out.toDF(*names, *added.names)
+
+
+def covered(first: np.ndarray, n: np.ndarray, units: int, window: int) -> np.ndarray:
+    """Which of some units a window of the spans covers."""
+    marks = np.bincount(first, minlength=units + 1)[: units + 1] - np.bincount(first + n + window - 1, minlength=units + 1)[: units + 1]
     return np.cumsum(marks[:-1]) > 0
-
-

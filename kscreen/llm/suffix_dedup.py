@@ -10,17 +10,18 @@ which windows are equal. Order beyond the window's length does not matter and is
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import column
-from kscreen.llm.repeats import Spec, covered, with_spans
+from kscreen.llm.common import taken
+from kscreen.llm.repeats import Spec, byte_grams, covered, finished
 
 WINDOW, GRAM = 400, 48
+#: Bytes that tied suffixes go on by where all of a tie share them.
+BLOCK = 64
 
 
 def suffix_array(text: bytes, depth: int) -> np.ndarray:
@@ -67,43 +68,55 @@ def _words_at(text: bytes, depth: int) -> np.ndarray:
 
 
 def _sorted_direct(text: bytes, at: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ordered by their next depth bytes: most significant eight bytes first, ties onward."""
+    """Positions ordered by their next depth bytes: most significant eight bytes first, ties onward.
+
+    Suffixes that are tied go on by BLOCK bytes at once where these are the same for the whole tie,
+    as a hash of them tells; else by eight bytes.
+    """
+    if not len(at):
+        return at
     words = _words_at(text, depth)
+    blocks = byte_grams(text + bytes(depth + BLOCK + 16), BLOCK)
     key = words[at].astype(np.uint64)
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
     slots = np.arange(len(at))
-    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(at) else slots
-    for d in range(8, depth, 8):
-        size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        tied = size[group] > 1 if len(group) else np.zeros(0, bool)
-        if not tied.any():
-            break
-        slots, group = slots[tied], group[tied]
-        key = words[at[slots] + d].astype(np.uint64)
+    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    done = np.full(len(at), 8)  # bytes that the members of a slot's tie share
+    while True:
+        size = np.bincount(group)
+        open_ = (size[group] > 1) & (done < depth)
+        if not open_.any():
+            return at
+        slots, group, done = slots[open_], group[open_], done[open_]
         same = group[1:] == group[:-1]
-        mixed = np.unique(group[1:][same & (key[1:] != key[:-1])])
-        if len(mixed):
-            part = np.flatnonzero(np.isin(group, mixed))
+        group = np.concatenate([[0], np.cumsum(~same)])
+        place = at[slots] + done
+        block = blocks[place]
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][same & (block[1:] != block[:-1])]] = True
+        part = np.flatnonzero(mixed[group])
+        done = np.where(mixed[group], done + 8, done + BLOCK)
+        if len(part):
+            key = np.zeros(len(group), np.uint64)
+            key[part] = words[place[part]].astype(np.uint64)
             order = np.lexsort((key[part], group[part]))
             at[slots[part]] = at[slots[part[order]]]
             key[part] = key[part[order]]
-        group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (key[1:] != key[:-1]))])
-    return at
+            group = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (key[1:] != key[:-1]))])
 
 
 def shared_prefix(text: bytes, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the common prefix of each pair of suffixes reaches depth bytes."""
-    words = _words_at(text, depth)
-    same = np.ones(len(a), bool)
-    left = np.arange(len(a))
-    for d in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
-        equal = words[a[left] + d] == words[b[left] + d]
-        same[left[~equal]] = False
-        left = left[equal]
-        if not len(left):
-            break
-    return same
+    """Whether the common prefix of each pair of suffixes reaches depth bytes; the end of text is no byte."""
+    n = len(text)
+    inside = np.maximum(a, b) + depth <= n
+    first = byte_grams(text, 8) if n >= 8 and depth >= 8 else None
+    if first is not None:  # most pairs differ early
+        near = np.flatnonzero(inside)
+        inside[near] = (first[a[near]] == first[b[near]]) & (first[a[near] + depth - 8] == first[b[near] + depth - 8])
+    near = np.flatnonzero(inside)
+    inside[near] = [text[x : x + depth] == text[y : y + depth] for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True)]
+    return inside
 
 
 def compare(strings: list[bytes], counts: np.ndarray, window: int) -> list[np.ndarray]:
@@ -130,28 +143,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every byte covered by a window-byte string that also starts anywhere else goes, its first
     occurrence included. Null texts count as empty; texts shorter than the window lose nothing;
-    repeated rows repeat each other's strings; other columns are not read.
+    repeated rows and rows that share an id repeat each other's strings, so all lose them; null
+    ids are ids like others; strings of equal minimiser hash are told apart by their bytes; an
+    empty table gives an empty one; other columns are not read, whatever their names. A worker
+    holds one very long text, and minimisers of a piece of it.
     """
 
-    rows = docs.select(column(docs, id_col).alias(id_col), column(docs, text_col).alias("_text"))
-    free, cut = with_spans(rows, Spec(window, GRAM, False), compare, id_col, "_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            marks = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
-            out = [_kept(t, s, window) for t, s in zip(b.column(1).to_pylist(), marks, strict=True)]
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]], [id_col, "kept", "n_bytes", "n_removed", "n_spans"])
+    def finish(part: pa.RecordBatch, marks: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        out = [_kept(t, first, n, window) for t, (first, n) in zip(part.column(1).to_pylist(), marks, strict=True)]
+        kept, *counts = zip(*out, strict=True)
+        return [pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in counts]]
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
-    return free.mapInArrow(run, schema).union(cut.mapInArrow(run, schema))
+    names = ("n_bytes", "n_removed", "n_spans")
+    added = T.StructType([T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in names]])
+    rows = taken(docs, id=id_col, text=text_col)
+    return finished(rows, Spec(window, GRAM, False), compare, "id", "text", finish, added).select(F.col("id").alias(id_col), "kept", *names)
 
 
-def _kept(text: str | None, spans: list[dict] | None, window: int) -> tuple[bytes, int, int, int]:
+def _kept(text: str | None, first: np.ndarray, n: np.ndarray, window: int) -> tuple[bytes, int, int, int]:
     data = (text or "").encode()
-    if not spans:
+    if not len(first):
         return data, len(data), 0, 0
-    gone = covered(spans, len(data), window)
+    gone = covered(first, n, len(data), window)
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), len(data), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
 

@@ -9,7 +9,6 @@ until a rank stands for a whole window.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import column
-from kscreen.llm.repeats import Spec, covered, with_spans
+from kscreen.llm.common import taken, unused
+from kscreen.llm.repeats import Spec, covered, finished
 
 WINDOW, GRAM = 35, 8
 
@@ -53,35 +52,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. Every word covered by a
     window whose words also start anywhere else goes, its first occurrence included. Null texts
-    count as empty; texts shorter than the window lose nothing; repeated rows repeat each
-    other's windows; other columns are not read.
+    count as empty; texts shorter than the window lose nothing; repeated rows and rows that share
+    an id repeat each other's windows, so all lose them; null ids are ids like others; windows of
+    equal minimiser hash are told apart by their words; an empty table gives an empty one; other
+    columns are not read, whatever their names. Of a very long text a worker holds the text, its
+    words and 16 bytes a word; hashes are taken in pieces.
     """
+    rows = taken(docs, id=id_col, text=text_col)
+    return with_kept(rows, "text", "id", window, ("kept", "n_words", "n_removed")).select(F.col("id").alias(id_col), "kept", "n_words", "n_removed")
 
-    rows = docs.select(column(docs, id_col).alias(id_col), column(docs, text_col).alias("_text"))
-    return with_kept(rows, "_text", id_col, window).select(id_col, F.col("_kept").alias("kept"), F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"))
 
+def with_kept(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, names: tuple[str, str, str] = ("_kept", "_n_words", "_n_removed")
+) -> DataFrame:
+    """docs with three more columns of these names: kept, n_words and n_removed as in ``remove_repeats``.
 
-def with_kept(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """docs with three more columns: _kept binary, as in ``remove_repeats``, _n_words and _n_removed."""
-    free, cut = with_spans(docs, Spec(window, GRAM, True), compare, id_col, text_col)
-    at, width = docs.columns.index(text_col), len(docs.columns)
+    The cases are as there; all rows and columns of docs stay as they are. A name that docs has
+    already, in any case, raises.
+    """
+    if unused(docs, *names) != list(names):
+        raise ValueError(f"docs has a column of {names} already")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            marks = b.column(width).to_pylist() if b.num_columns > width else [None] * b.num_rows
-            out = [_kept(t, s, window) for t, s in zip(b.column(at).to_pylist(), marks, strict=True)]
-            cols = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]], [*b.schema.names[:width], "_kept", "_n_words", "_n_removed"])
+    def finish(part: pa.RecordBatch, marks: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        out = [_kept(t, first, n, window) for t, (first, n) in zip(part.column(at).to_pylist(), marks, strict=True)]
+        kept, n_words, n_removed = zip(*out, strict=True)
+        return [pa.array(kept, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()), T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
-    return free.mapInArrow(run, schema).union(cut.mapInArrow(run, schema))
+    at = docs.columns.index(text_col)
+    added = T.StructType([T.StructField(n, k) for n, k in zip(names, (T.BinaryType(), T.LongType(), T.LongType()), strict=True)])
+    return finished(docs, Spec(window, GRAM, True), compare, id_col, text_col, finish, added)
 
 
-def _kept(text: str | None, spans: list[dict] | None, window: int) -> tuple[bytes, int, int]:
+def _kept(text: str | None, first: np.ndarray, n: np.ndarray, window: int) -> tuple[bytes, int, int]:
     words = (text or "").encode().split()
-    if not spans:
+    if not len(first):
         return b" ".join(words), len(words), 0
-    gone = covered(spans, len(words), window)
+    gone = covered(first, n, len(words), window)
     return b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), len(words), int(gone.sum())
 
 

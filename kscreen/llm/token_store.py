@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import column, fresh, slices, written
+from kscreen.llm.common import fresh, slices, taken, written
 from kscreen.llm.units import UnitCache
 
 MAGIC = b"KSDAC01\n"
@@ -270,7 +270,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: s
         if doc_ids:
             yield close()
 
-    rows = docs.select(column(docs, id_col).cast("long").alias("id"), F.coalesce(column(docs, text_col), F.lit("")).alias("text"))
+    rows = taken(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     # rows of one id, however many, are dealt by text, and equal rows by their places
     rows = rows.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
     rows = rows.repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h", "place").select("id", "text")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import column
+from kscreen.llm.common import taken
 
 #: Labelled rows of each class, in the order of a hash, that the model is fitted on at most.
 SAMPLE_ROWS = 1500
@@ -204,13 +204,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Rows whose crc32(id as text) mod 4 is 2 are held out; rows with a null id or label are skipped.
     """
-    lab = labels.select(column(labels, id_col).alias("_id"), column(labels, label_col).cast("int").alias("_y")).filter("_id is not null and _y is not null and crc32(cast(_id as string)) % 4 != 2")
+    lab = taken(labels, _id=id_col, _y=label_col).withColumn("_y", F.col("_y").cast("int")).filter("_id is not null and _y is not null and crc32(cast(_id as string)) % 4 != 2")
     labelled = [0, 0]
     for r in lab.groupBy((F.col("_y") == 1).alias("toxic")).count().collect():
         labelled[int(r[0])] = r[1]
     parts = [lab.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    texts = docs.select(column(docs, id_col).alias("_id"), column(docs, text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most 2 x rows
+    texts = taken(docs, _id=id_col, _text=text_col).join(F.broadcast(chosen), "_id")  # at most 2 x rows
     out: list[tuple[str | None, int]] = []
     used = [0, 0]
     for r in sorted(texts.select("_text", "_y", "_id").toLocalIterator(), key=lambda r: (r._id * 2654435761 % 4294967296, r._text or "")):
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], [id_col, "score"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
-    return docs.select(column(docs, id_col), column(docs, text_col)).mapInArrow(run, schema)
+    return taken(docs, id=id_col, text=text_col).mapInArrow(run, schema)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

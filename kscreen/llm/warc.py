@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kscreen.llm.common import column, fresh, written
+from kscreen.llm.common import fresh, taken, written
 from kscreen.llm.token_store import filesystem
 
 #: Compressed bytes after which a task closes an archive and starts another.
@@ -70,8 +70,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     folder = folder or fresh(pages.sparkSession, "warc")
     system, path = filesystem(folder)
     system.create_dir(path, recursive=True)
-    payload = F.coalesce(column(pages, payload_col).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(column(pages, id_col).cast("long").alias("id"), column(pages, url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
+    payload = F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary"))
+    rows = taken(pages, id=id_col, url=url_col, payload=payload_col)
+    rows = rows.select(F.col("id").cast("long"), "url", payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
     groups = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("id").alias("first"), F.max_by("url", "id").alias("first_url"), F.count("*").alias("n"))
     groups = written(groups.filter("n > 1 and first is not null").drop("n"), "warc-groups")
     # groups is a plain scan, so that a payload of very many rows can be split by the engine
