@@ -12,8 +12,9 @@ Equal windows have equal minimisers, so windows are only ever compared within a
    one; a string that occurs twice has only repeated windows;
 3. of the strings that share a minimiser with a different string, one copy each travels to the
    minimiser's bucket, where their windows are compared exactly. A minimiser with more than HOT
-   strings is split instead: its windows are counted by 128-bit digests, summed before the
-   shuffle, and so spread over all tasks;
+   strings is split instead: its windows are counted by 128-bit digests. Tasks merge what they
+   have of a digest and pack the rest into one block for each of a number of buckets that grows
+   with the windows, so that no task gets all of a minimiser or of a window;
 4. the spans come back to their rows as ranges; only texts that have any are shuffled for it.
 
 Texts are taken by slices of a batch that are bounded in bytes, never as a whole batch.
@@ -36,7 +37,9 @@ from kscreen.llm.bitfilter import BitFilter
 from kscreen.llm.common import read_back, remove, row_key, slices, store, unused
 
 #: Distinct strings of one minimiser above which its windows are counted by digests.
-HOT = 192
+HOT = 512
+#: Windows of hot minimisers that a task packs at once, and that a bucket of digests has about.
+PACK = 1 << 18
 #: Bytes of packed strings that a bucket task compares at once (whole minimisers).
 CHUNK_BYTES = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
@@ -315,24 +318,16 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
         if held:
             yield _compared(held, spec, compare)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, 5, 1 << 18):
-                out = []
-                for k1, k2, a, n, _, s in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    out += [(xxhash.xxh3_128_digest(w), k1, k2, a + i) for i, w in enumerate(spec.windows(s, n))]
-                yield _batch(out, WINDOW)
-
     picked = keep(rows.select("k1", "k2", "text").mapInArrow(chosen, "k1 long, k2 long, first long, n long, anchor long, data binary, hot boolean"), "picked")
     cold = picked.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
     parts = [alone, inside, cold.mapInArrow(bucket, "k1 long, k2 long, first long, n long")]
     if n_hot:
-        exploded = keep(picked.filter("hot").drop("hot").mapInArrow(windows, "window binary, k1 long, k2 long, first long"), "windows")
-        often = keep(exploded.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "often")
-        single = exploded.join(often, "window").select("k1", "k2", "first")
-        # single windows become ranges: a word of bits for every 64 starts of a row, summed before it is shuffled
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("first").bitwiseAND(F.lit(63)).cast("int"))
-        bits = single.groupBy("k1", "k2", F.shiftright("first", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+        stacked = picked.filter("hot")
+        buckets = max(1, -(-(stacked.agg(F.sum("n")).first()[0] or 0) // PACK))
+        blocks = keep(stacked.select("k1", "k2", "first", "n", "data").mapInArrow(_packed_windows(spec, buckets), "bucket long, block binary"), "blocks")
+        known = blocks.filter("bucket < 0").select("block").mapInArrow(_unpacked_bits, BITS)
+        met = blocks.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_windows, BITS)
+        bits = known.unionByName(met).groupBy("k1", "k2", "word").agg(F.bit_or("bits").alias("bits"))
         parts.append(bits.select("k1", "k2", "word", "bits").mapInArrow(_ranges_of_bits, "k1 long, k2 long, first long, n long"))
     out = parts[0]
     for p in parts[1:]:
@@ -343,6 +338,109 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
     return out
 
 
+#: A window: its digest, where it starts, and whether its task has met it twice.
+_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("first", "<i8"), ("twice", "<i8")])
+#: 64 window starts of a row from 64 * word on, a bit for each that is repeated.
+_BITS = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("word", "<i8"), ("bits", "<u8")])
+BITS = "k1 long, k2 long, word long, bits long"
+
+
+def _as_bits(w: np.ndarray) -> np.ndarray:
+    """Window starts as words of bits."""
+    out = np.zeros(len(w), _BITS)
+    out["k1"], out["k2"], out["word"] = w["k1"], w["k2"], w["first"] >> 6
+    out["bits"] = np.uint64(1) << (w["first"] & 63).astype(np.uint64)
+    if not len(w):
+        return out
+    out = out[np.lexsort((out["word"], out["k2"], out["k1"]))]
+    new = np.concatenate([[True], (out["word"][1:] != out["word"][:-1]) | (out["k2"][1:] != out["k2"][:-1]) | (out["k1"][1:] != out["k1"][:-1])])
+    at = np.flatnonzero(new)
+    merged = out[at]
+    merged["bits"] = np.bitwise_or.reduceat(out["bits"], at)
+    return merged
+
+
+def _by_digest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by digest, where each digest begins, and whether each entry's digest is repeated."""
+    w = w[np.lexsort((w["b"], w["a"]))]
+    new = np.concatenate([[True], (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])])[: len(w)]
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(w)))
+    often = (size > 1) | (np.add.reduceat(w["twice"], at) > 0) if len(at) else np.zeros(0, bool)
+    return w, at, np.repeat(often, size)
+
+
+def _packed_windows(spec: Spec, buckets: int):
+    """(k1, k2, first, n, data) to blocks: of windows for each bucket, and of starts known to be repeated for bucket -1."""
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        w = np.zeros(sum(r[3] for r in rows), _ENTRY)
+        digests = b"".join(xxhash.xxh3_128_digest(x) for r in rows for x in spec.windows(r[4], r[3]))
+        w["a"], w["b"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+        count = np.array([r[3] for r in rows])
+        for i, c in enumerate(("k1", "k2", "first")):
+            w[c] = np.repeat(np.array([r[i] for r in rows], np.int64), count)
+        w["first"] += np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
+        w, at, often = _by_digest(w)
+        w["twice"] = often
+        numbers, blocks = [-1], [_as_bits(w[often]).tobytes()]
+        w = w[at]  # one of each digest
+        bucket = (w["a"] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        w, bucket = w[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(w)], strict=True):
+            numbers.append(int(bucket[x]))
+            blocks.append(w[x:y].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for b in batches:
+            for part in slices(b, 4):
+                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    held.append(row)
+                    size += row[3]
+                    if size >= PACK:
+                        yield packed(held)
+                        held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _bits_batch(w: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[c]).view(np.int64)) for c in _BITS.names], list(_BITS.names))
+
+
+def _unpacked_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for block in b.column(0):
+            yield _bits_batch(np.frombuffer(block.as_buffer(), _BITS))
+
+
+def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by bucket to the starts of windows whose digest is met twice in their bucket."""
+
+    def settled(held: list[bytes]) -> pa.RecordBatch:
+        w, _, often = _by_digest(np.frombuffer(b"".join(held), _ENTRY))
+        return _bits_batch(_as_bits(w[often & (w["twice"] == 0)]))
+
+    held: list[bytes] = []
+    last = None
+    for b in batches:
+        for bucket, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if held and bucket != last:
+                yield settled(held)
+                held = []
+            held.append(block.as_py())
+            last = bucket
+    if held:
+        yield settled(held)
+
+
 def _ranges_of_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k1, k2, word, bits) to (k1, k2, first, n): each run of set bits of a word."""
     for b in batches:
@@ -361,7 +459,6 @@ def _ranges_of_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _LONG = pa.int64()
 RUN = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG), ("anchor", _LONG), ("digest", pa.binary()), ("more", pa.list_(_LONG))])
 STRING = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG), ("anchor", _LONG), ("data", pa.binary()), ("hot", pa.bool_())])
-WINDOW = pa.schema([("window", pa.binary()), ("k1", _LONG), ("k2", _LONG), ("first", _LONG)])
 SPAN = pa.schema([("k1", _LONG), ("k2", _LONG), ("first", _LONG), ("n", _LONG)])
 
 

@@ -40,9 +40,10 @@ def test_compare(rng, module, window):
         assert [f.tolist() for f in module.compare(strings, counts, window)] == want
 
 
-@pytest.mark.parametrize("hot", [192, 1])
+@pytest.mark.parametrize("hot,pack", [(512, 1 << 18), (1, 1 << 18), (1, 50)])
 @pytest.mark.parametrize("module", [suffix_dedup, super_kmers])
-def test_against_brute_force(spark, docs_of, corpus, module, hot, monkeypatch):
+def test_against_brute_force(spark, docs_of, corpus, module, hot, pack, monkeypatch):
+    monkeypatch.setattr(repeats, "PACK", pack)
     monkeypatch.setattr(repeats, "HOT", hot)
     out = {r.doc_id: r for r in module.remove_repeats(docs_of(corpus)).collect()}
     want = module.brute_force(corpus)
