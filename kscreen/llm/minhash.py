@@ -303,14 +303,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = keep(first.mapInArrow(_confirm(folder), "a binary, b binary"), "links")
     labels = components(links)
     named = labels.select(F.col("v").alias("digest"), "label")
-    named = keep(members.join(named, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "named")
+    # signatures stay behind until it is known which members are needed
+    named = members.select("digest", "key", "band").join(named, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    named = keep(named, "named")
     sizes = named.groupBy("key", "label").count()
     split = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
     split = keep(split.select("key", F.col("main.label").alias("main"), F.col("main.count").alias("n_main"), "n"), "split")
     named = keep(named.join(split, "key"), "open")
     folder, sets = _sets(named.select("digest").distinct(), classes, rows, keep)
     done.append(folder)
-    sets = keep(sets.join(classes.select("digest", "bands"), "digest"), "open-sets")
+    sets = keep(sets.join(classes.select("digest", "sig", "bands"), "digest"), "open-sets")
     open_ = keep(_open_cells(named), "cells").join(sets, "digest")
     open_ = _together(open_.select("cell", "side", "digest", "sig", "label", "band", "bands", "file", "at", "n"))
     more = keep(open_.mapInArrow(_by_cell(_remaining(folder)), "a binary, b binary"), "more-links")
@@ -331,7 +333,7 @@ def _together(cells: DataFrame) -> DataFrame:
 
 
 def _open_cells(named: DataFrame) -> DataFrame:
-    """(cell, side, digest, sig, label, band): members of buckets, n in all, with several labels.
+    """(cell, side, digest, label, band): members of buckets, n in all, with several labels.
 
     side: 2 meets all of its cell, 0 and 1 each other. A bucket of at most BLOCK members is one
     cell. In a larger one the n_main members of its largest label, main, are dealt into blocks, the
@@ -351,8 +353,8 @@ def _open_cells(named: DataFrame) -> DataFrame:
     among = F.transform(every(o), lambda j: cell(2, F.least(F.col("own"), j), F.greatest(F.col("own"), j), side(j)))
     one = F.array(cell(0, F.lit(0), F.lit(0), F.lit(2)))
     cells = F.when(small, one).when(is_main, of_main).otherwise(F.concat(to_main, among))
-    rows = named.withColumn("own", own).select("digest", "sig", "label", "band", F.explode(cells).alias("c"))
-    return rows.select("c.cell", "c.side", "digest", "sig", "label", "band")
+    rows = named.withColumn("own", own).select("digest", "label", "band", F.explode(cells).alias("c"))
+    return rows.select("c.cell", "c.side", "digest", "label", "band")
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[str, DataFrame]:
