@@ -46,14 +46,14 @@ def with_rates(sums: DataFrame, k: int) -> DataFrame:
     )
 
 
-def document(row: DataFrame, sample: str, reference: str, begin: Column, threads: int) -> DataFrame:
-    """The flat report document of one sample and one filter."""
+def document(row: DataFrame, sample: str | Column, reference: str | Column, begin: Column, threads: int) -> DataFrame:
+    """The flat report documents of samples and filters, named by a text or in a column."""
     from kscreen.functions.text import iso_timestamp
 
     return row.select(
         iso_timestamp(begin).alias("begin_timestamp"),
         iso_timestamp(F.current_timestamp()).alias("end_timestamp"),
-        F.lit(sample).alias("sample"),
+        F.lit(sample).alias("sample"),  # a column stays as it is
         F.lit(reference).alias("bloom_filter"),
         "total_read_count",
         "contaminated_reads",

@@ -102,7 +102,7 @@ _ITEM = f"""with ref as ({_ref("item_id,")}), tiles as ({_tiles()}), turned as (
     whole as (select count(*) as n, sum(length(seq)) as bases from tiles)
     {_rates("select item_id, n as total_read_count, coalesce(c, 0) as contaminated_reads, cast(coalesce(h, 0) as bigint) as total_hits, cast(bases as bigint) as all_k from (select distinct item_id from ref) left join agg using (item_id), whole", "item_id,")}"""
 _MIXED = f"{_tiles()} union all select -conv_id * 1000 - turn - 1 as doc_id, tile_no, seq from ({_tiles('conversations', 'conv_id, turn')})"
-_ASKED = f"select distinct substr(seq, p, {K}) as kmer from (select seq, unnest(range(1, length(seq) - {K} + 2)) as p from (select substr({_LOWER}, 1, {TILE}) as seq from documents))"
+_ASKED = f"select distinct substr(seq, p, {K}) as kmer from (select seq, unnest(range(1, length(seq) - {K} + 2)) as p from ({_tiles()}))"
 _HALF = f"select doc_id, tile_no, case when tile_no % 2 = 1 then {_RC.format('seq')} else seq end as seq from ({_tiles()})"
 
 ORACLE_SQL: dict[str, str] = {
@@ -146,12 +146,15 @@ ORACLE_SQL: dict[str, str] = {
     "tool_compare_join": f"""with e as ({_EVENTS}) select user_id || '.fastq' as sample, round(high / n, 9) as rate_a, round(high / n, 9) as rate_b,
         (epoch_us(e) - epoch_us(b)) / 1000000.0::double as seconds_a, (epoch_us(e) - epoch_us(b)) / 1000000.0::double as seconds_b from e where n >= 5""",
     "tool_compare_zip": f"with e as ({_EVENTS}) select user_id as ordinal, user_id || '.fastq' as sample, 'g' || (user_id % 5) as reference, round(high / n, 9) as rate_a, round(high / n, 9) as rate_b from e where n >= 5 and high > 0",
+    "screen_tool_rates": """select user_id, round((a + b + c) / 100, 9) as rate from (select user_id, count(*) filter (where value > 20) % 30 as a, count(*) filter (where value > 50) % 30 as b,
+        count(*) filter (where value > 80) % 30 as c from events group by user_id)""",
     "run_durations": "select user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::double as seconds from events group by user_id",
     "group_views": """select filter, sample, count(*) as n, cast(sum(size) as bigint) as total from (select regexp_extract(url, '^https?://([^/]*)', 1) as filter, regexp_replace(url, '^.*[\\\\/]', '') as sample, length(html) as size from pages)
         where filter <> '' and sample <> '' and size <> 0 group by 1, 2""",
     "sample_views": """select page_id, sample, regexp_replace(sample, '\\.[^.]*$', '') as stem from (select page_id, regexp_replace(url, '^.*[\\\\/]', '') as sample, regexp_extract(url, '^https?://([^/]*)', 1) as host from pages)
         where starts_with(host, 'th') and regexp_matches(sample, '^[0-9]+')""",
     "fasta_roundtrip": _ROUND_TRIP,
+    "fasta_head_roundtrip": _ROUND_TRIP,
     "fastq_roundtrip": _ROUND_TRIP,
     "stream_report": _report(_tiles()),
 }

@@ -30,8 +30,10 @@ def reference(spark: SparkSession, sf_dir: str, *keep: str, k: int = K) -> DataF
     return kmers.kmer_set(table(spark, sf_dir, "benchmark"), "text", k, *keep)
 
 
-def classified(spark: SparkSession, sf_dir: str, *keep: str, rows: DataFrame | None = None) -> DataFrame:
-    counted = classify.window_counts(reads(spark, sf_dir, *keep) if rows is None else rows, reference(spark, sf_dir), K, KEY)
+def classified(spark: SparkSession, sf_dir: str, *keep: str, rows: DataFrame | None = None, full: bool = False) -> DataFrame:
+    """Tiles with their verdicts; full: with the counts of reads that no anchor opens, too."""
+    rows = reads(spark, sf_dir, *keep) if rows is None else rows
+    counted = classify.window_counts(rows, reference(spark, sf_dir), K, KEY, threshold=None if full else THRESHOLD)
     return classify.verdicts(counted, K, THRESHOLD)
 
 
@@ -85,12 +87,19 @@ def bloom_jenkins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.build_jenkins(reference(spark, sf_dir), filter_sizing(spark, sf_dir))
 
 
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles with the number of their windows that are in the reference; no window becomes a row while the set can be shipped."""
+    return classify.window_counts(reads(spark, sf_dir), reference(spark, sf_dir), K, KEY, both=False)
+
+
 def screen_hits_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_windows(spark, sf_dir).join(reference(spark, sf_dir), "kmer", "left_semi").select(*KEY).distinct()
+    """Tiles that share a k-mer with the reference (a semi join)."""
+    return _matched(spark, sf_dir).filter("fwd_m > 0").select(*KEY)
 
 
 def screen_clean_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark, sf_dir).select(*KEY).join(screen_hits_semi(spark, sf_dir), KEY, "left_anti")
+    """Tiles that share none (an anti join)."""
+    return _matched(spark, sf_dir).filter("fwd_m = 0").select(*KEY)
 
 
 def read_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +185,7 @@ def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roc_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents called at each threshold; truth: the document holds 50 or more reference windows."""
-    truth = classified(spark, sf_dir).groupBy("doc_id").agg(F.max(F.when(F.col("fwd_gate"), F.col("fwd_score"))).alias("score"), (F.sum("fwd_m") >= 50).alias("positive"))
+    truth = classified(spark, sf_dir, full=True).groupBy("doc_id").agg(F.max(F.when(F.col("fwd_gate"), F.col("fwd_score"))).alias("score"), (F.sum("fwd_m") >= 50).alias("positive"))
     grid = truth.select("score", "positive", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])).alias("threshold"))
     called = F.coalesce(F.col("score") >= F.col("threshold").cast("float"), F.lit(False))
     out = compare.confusion(grid, called, F.col("positive"), "threshold")
@@ -185,7 +194,7 @@ def roc_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def random_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of matching windows among the tiles' windows, by language, beside the assumed probability."""
-    rows = classified(spark, sf_dir, "lang")
+    rows = classified(spark, sf_dir, "lang", full=True)
     sums = rows.groupBy("lang").agg(F.sum("fwd_m").alias("hit"), F.sum(F.greatest(F.col("read_len") - K + 1, F.lit(0))).alias("windows"))
     return sums.select("lang", "hit", "windows", F.round(F.col("hit") / F.nullif(F.col("windows"), F.lit(0)), 9).alias("share"), F.lit(params.default_hit_probability(K)).alias("assumed"))
 
@@ -209,6 +218,22 @@ def tool_compare_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.zipped(a, b)
 
 
+def screen_tool_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A screening tool's tables, written for every user's events and read back: the rate of each sample."""
+    import uuid
+
+    from kscreen.plans.folders import scratch
+    from kscreen.sources import tables
+
+    path = f"{scratch(spark)}/screen-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(*[(F.count_if(F.col("value") > v) % 30).cast("double").alias(c) for c, v in (("a", 20), ("b", 50), ("c", 80))])
+    numbers = F.concat_ws("\t", F.lit("g"), *[F.format_string("%.2f", x) for x in (F.lit(100.0), F.lit(0.0), F.lit(5.0), F.lit(1.0), "a", F.lit(1.0), "b", F.lit(1.0), "c", F.lit(0.0), F.lit(0.0))])
+    text = F.concat(F.lit("#Fastq_screen version: 0.4.2\n" + "\t".join(tables.SCREEN_COLUMNS) + "\n"), numbers, F.lit("\n\n%Hit_no_libraries: 1.0\n"))
+    e.select(text.alias("value"), F.col("user_id").cast("string").alias("sample")).write.partitionBy("sample").option("lineSep", "\u0001").text(path)
+    rows = tables.read_screen_reports(spark, path, F.regexp_extract("file", "sample=([^/]+)/", 1))
+    return compare.screen_rate(rows).select(F.col("sample").cast("long").alias("user_id"), F.round("contamination_rate", 9).alias("rate"))
+
+
 def run_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return runs.select("user_id", compare.seconds_between(F.col("a"), F.col("b")).alias("seconds"))
@@ -261,6 +286,22 @@ def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, "fasta")
 
 
+def fasta_head_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA files that start with other text: it is skipped, in each file."""
+    import uuid
+
+    from kscreen.plans.folders import scratch
+    from kscreen.sources import fastx
+
+    path = f"{scratch(spark)}/head-{uuid.uuid4().hex}.fasta"
+    made = F.regexp_replace(fastx.fasta_record(F.col("doc_id").cast("string"), F.col("seq")), r"\n\z", "")
+    rows = _clean_text(table(spark, sf_dir, "documents")).select((F.col("doc_id") % 8).alias("part"), F.lit(1).alias("place"), made.alias("value"))
+    heads = spark.range(8).select(F.col("id").alias("part"), F.lit(0).alias("place"), F.lit("a note\nACGT").alias("value"))
+    rows.unionByName(heads).repartition(8, "part").sortWithinPartitions("place").select("value").write.text(path)
+    back = fastx.read(spark, path)
+    return back.select(F.col("header").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, "fastq")
 
@@ -271,6 +312,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contamination_report, kmer_spectrum, anchor_kmers, revcomp_text, param_defaults, filter_info, bloom_words, bloom_membership, bloom_jenkins,
         screen_hits_semi, screen_clean_anti, read_scores, strand_verdicts, report_by_source_lang, per_item_report, remove_clean, remove_contam,
         sampled_report, trim_reads, every_other_read, mixed_reads, base_composition, record_counts, roc_by_threshold, random_hit_rate,
-        tool_compare_join, tool_compare_zip, run_durations, group_views, sample_views, approx_distinct_kmers, fasta_roundtrip, fastq_roundtrip, stream_report,
+        tool_compare_join, tool_compare_zip, screen_tool_rates, run_durations, fasta_head_roundtrip, group_views, sample_views, approx_distinct_kmers, fasta_roundtrip, fastq_roundtrip, stream_report,
     )
 }

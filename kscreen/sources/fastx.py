@@ -7,6 +7,10 @@ within their file by a running count over file blocks, never by one global windo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TextIO
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +30,10 @@ def marker_format(first: str) -> str:
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], reference: bool = False) -> DataFrame:
-    """(file, header, seq, raw). Text before the first '>' is skipped. Line feeds leave the sequence;
+    """(file, header, seq, raw). Text before a file's first '>' is skipped. Line feeds leave the sequence;
     carriage returns do in a reference only."""
     rows = spark.read.option("lineSep", ">").text(paths).select(F.input_file_name().alias("file"), "value", F.col("_metadata.file_block_start").alias("_at"))
-    # what precedes a file's first marker is the first row of its first block
+    rows = rows.mapInArrow(_without_heads, rows.schema)
     at = F.instr("value", "\n")
     header = F.when(at > 0, F.substring(F.col("value"), F.lit(1), at - 1)).otherwise(F.col("value"))
     body = F.when(at > 0, F.substring(F.col("value"), at + 1, F.length("value"))).otherwise(F.lit(""))
@@ -37,6 +41,17 @@ def read_fasta(spark: SparkSession, paths: str | list[str], reference: bool = Fa
     return rows
 
 
+def _without_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, value, _at) of a scan without what precedes a file's first marker: the first row of its first block."""
+    last: tuple = (None, None)
+    for b in batches:
+        keep = []
+        for now in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            keep.append(now == last or now[1] != 0)
+            last = now
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
     """lines: (file, value), one partition's lines in file order. Adds line_no from 0 in each file.
 
@@ -59,13 +74,15 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out.withColumn("raw", F.concat_ws("\n", *parts)).withColumn("raw", F.concat("raw", F.lit("\n")))
 
 
+def reference_format(spark: SparkSession, path: str) -> str:
+    """By the first character of the file's first line that is not empty."""
+    first = spark.read.text(path).filter("value <> ''").limit(1).collect()
+    return marker_format(first[0][0] if first else "")
+
+
 def read(spark: SparkSession, path: str, reference: bool = False) -> DataFrame:
     """Reads by name; reference sequences by their first character."""
-    if reference:
-        first = spark.read.text(path).filter("value <> ''").limit(1).collect()
-        kind = marker_format(first[0][0] if first else "")
-    else:
-        kind = format_of(path)
+    kind = reference_format(spark, path) if reference else format_of(path)
     return read_fastq(spark, path) if kind == "fastq" else read_fasta(spark, path, reference)
 
 
@@ -88,9 +105,15 @@ def write_records(records: DataFrame, path: str, raw_col: str = "raw", gzip: boo
 
 
 def write_split(classified: DataFrame, path: str, raw_col: str = "raw") -> None:
-    """One folder of contaminated and one of clean records, from one pass."""
+    """One folder of contaminated and one of clean records, from one pass; replaces what is there."""
     rows = classified.select(_unended(raw_col), F.when(F.col("contaminated"), "contam").otherwise("clean").alias("verdict"))
-    rows.write.mode("append").partitionBy("verdict").text(path)
+    rows.write.mode("overwrite").partitionBy("verdict").text(path)
+
+
+def print_split(classified: DataFrame, clean: TextIO, contaminated: TextIO, raw_col: str = "raw") -> None:
+    """Clean records to one stream and contaminated ones to the other, a partition at a time, in the reads' order."""
+    for r in classified.select(raw_col, "contaminated").toLocalIterator():
+        (contaminated if r[1] else clean).write(r[0])
 
 
 def dummy_fastq(spark: SparkSession, n: int, spike: str, unit: str = "GATTACAT", times: int = 13) -> DataFrame:

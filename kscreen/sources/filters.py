@@ -62,8 +62,13 @@ def filter_path(source: str, target: str | None, target_is_folder: bool) -> str:
     return (target.rstrip("/") + "/" if target else "") + stem + SUFFIX
 
 
+def pair_name(query: str, reference: str) -> str:
+    """The names of a query and a reference, without folders and last extensions, joined."""
+    stem = lambda p: p.rstrip("/").rpartition("/")[2].rpartition(".")[0] or p.rstrip("/").rpartition("/")[2]
+    return f"{stem(query)}_{stem(reference)}"
+
+
 def split_paths(query: str, reference: str, prefix: str, kind: str) -> tuple[str, str]:
     """Names of the contaminated and the clean output; prefix is put in front as it is."""
-    stem = lambda p: p.rstrip("/").rpartition("/")[2].rpartition(".")[0] or p.rstrip("/").rpartition("/")[2]
-    base = f"{prefix}{stem(query)}_{stem(reference)}"
+    base = prefix + pair_name(query, reference)
     return f"{base}_contam.{kind}", f"{base}_clean.{kind}"
