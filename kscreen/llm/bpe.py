@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import slices, taken
+from kscreen.llm.common import slices, taken, trimmed
 from kscreen.llm.units import UnitCache
 
 #: Stands between words; above every id, so that a pair of ids fits in one number.
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     rows = _texts(docs, id_col, text_col)
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 class Decoder:
@@ -301,4 +301,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
 
     rows = _texts(docs, id_col, text_col)
     names = (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
-    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *[T.StructField(*n) for n in names]]))
+    return rows.mapInArrow(trimmed(run), T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *[T.StructField(*n) for n in names]]))

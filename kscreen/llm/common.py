@@ -6,9 +6,10 @@ and executors share, so that a lost executor costs a re-run of its tasks and not
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +57,41 @@ def read_back(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to a Python worker (one row at least).
+BATCH_BYTES = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; from now on its session cuts Arrow batches by bytes, so that long texts do not add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+def returned() -> None:
+    """Give memory that a task has freed back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives back at its end what it has freed."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            returned()
+
+    return wrapped
+
+
 def taken(df: DataFrame, **names: str) -> DataFrame:
     """Columns of df under new names (new=old): the first of exactly that name, by place, whatever
     other columns differ from it by case only."""
+    bounded(df)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"c{df.columns.index(old)}").alias(new) for new, old in names.items()])
 

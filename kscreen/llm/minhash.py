@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kscreen.llm.bitfilter import BitFilter
-from kscreen.llm.common import fresh, read_back, remove, row_key, slices, store, taken, written
+from kscreen.llm.common import fresh, read_back, remove, row_key, slices, store, taken, trimmed, written
 from kscreen.llm.components import components
 from kscreen.llm.repeats import mix, word_grams, word_hashes
 from kscreen.llm.token_store import filesystem
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = taken(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text")
     rows = rows.select("id", *row_key(F.col("id"), F.col("text")), "text")
-    signed = keep(rows.mapInArrow(_sign, "id long, k1 long, k2 long, digest binary, n_shingles long, sig binary, bands binary"), "signed")
+    signed = keep(rows.mapInArrow(trimmed(_sign), "id long, k1 long, k2 long, digest binary, n_shingles long, sig binary, bands binary"), "signed")
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("row"))
     classes = keep(classes, "classes")
     keys = classes.select("bands").mapInArrow(_band_keys, "key long").groupBy("key").count().filter("count > 1").select("key")
@@ -295,12 +295,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.pmod(F.xxhash64("digest", "key"), F.ceil(F.col("count") / BLOCK)).cast("int")
     cell = F.xxhash64("key", F.when(F.col("count").isNull(), -1).otherwise(own)).alias("cell")
     cells = members.join(large, "key", "left").select(cell, F.lit(2).alias("side"), "digest", "sig", F.col("digest").alias("label"))
-    pairs = keep(_together(cells).mapInArrow(_by_cell(_likeliest), "a binary, b binary").distinct(), "pairs")
+    pairs = keep(_together(cells).mapInArrow(trimmed(_by_cell(_likeliest)), "a binary, b binary").distinct(), "pairs")
     folder, sets = _sets(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), classes, rows, keep)
     done.append(folder)
     first = pairs.join(sets.toDF("a", "file_a", "at_a", "n_a"), "a").join(sets.toDF("b", "file_b", "at_b", "n_b"), "b")
     first = first.select("a", "b", "file_a", "at_a", "n_a", "file_b", "at_b", "n_b")
-    links = keep(first.mapInArrow(_confirm(folder), "a binary, b binary"), "links")
+    links = keep(first.mapInArrow(trimmed(_confirm(folder)), "a binary, b binary"), "links")
     labels = components(links)
     named = labels.select(F.col("v").alias("digest"), "label")
     # signatures stay behind until it is known which members are needed
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = keep(sets.join(classes.select("digest", "sig", "bands"), "digest"), "open-sets")
     open_ = keep(_open_cells(named), "cells").join(sets, "digest")
     open_ = _together(open_.select("cell", "side", "digest", "sig", "label", "band", "bands", "file", "at", "n"))
-    more = keep(open_.mapInArrow(_by_cell(_remaining(folder)), "a binary, b binary"), "more-links")
+    more = keep(open_.mapInArrow(trimmed(_by_cell(_remaining(folder))), "a binary, b binary"), "more-links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     named = signed.join(labels.select(F.col("v").alias("digest"), "label"), "digest", "left")
@@ -386,7 +386,7 @@ def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, keep: Callable
                     made = [pa.array([file] * b.num_rows, pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())]
                     yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], ["k1", "k2", "file", "at", "n"])
 
-    found = keep(rows.select("k1", "k2", "text").mapInArrow(sets_of, "k1 long, k2 long, file long, at long, n long"), "set-places")
+    found = keep(rows.select("k1", "k2", "text").mapInArrow(trimmed(sets_of), "k1 long, k2 long, file long, at long, n long"), "set-places")
     found = found.groupBy("k1", "k2").agg(F.min(F.struct("file", "at", "n")).alias("p"))
     remove(rows.sparkSession, passing.path)
     return folder, keep(wanted.join(found, ["k1", "k2"]).select("digest", "p.file", "p.at", "p.n"), "sets")

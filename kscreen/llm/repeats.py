@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kscreen.llm.bitfilter import BitFilter
-from kscreen.llm.common import read_back, remove, row_key, slices, store, unused
+from kscreen.llm.common import bounded, read_back, remove, row_key, slices, store, trimmed, unused
 
 #: Distinct strings of one minimiser above which its windows are counted by digests.
 HOT = 512
@@ -235,7 +235,7 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
         if held:
             yield _counted(held)
 
-    anchors = rows.select("text").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    anchors = rows.select("text").mapInArrow(trimmed(count_anchors), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     repeated = keep(anchors.filter("n > 1").select("anchor"), "anchors")
     shared = BitFilter(repeated, "anchor", repeated.count())
     done.append(shared.path)
@@ -263,7 +263,7 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
         if out:
             yield _batch(out, RUN)
 
-    found = keep(rows.select("k1", "k2", "text").mapInArrow(listed, "k1 long, k2 long, first long, n long, anchor long, digest binary, more array<long>"), "runs")
+    found = keep(rows.select("k1", "k2", "text").mapInArrow(trimmed(listed), "k1 long, k2 long, first long, n long, anchor long, digest binary, more array<long>"), "runs")
     weight = F.size("more") + 1
     strings = found.groupBy("anchor", "digest").agg(F.sum(weight).alias("weight"), F.min(F.struct("k1", "k2", "first")).alias("at"))
     strings = keep(strings.select("anchor", "digest", "weight", F.col("at.k2").alias("k2"), _spot_column(F.col("at.k2"), F.col("at.first")).alias("spot")), "strings")
@@ -318,15 +318,15 @@ def spans(rows: DataFrame, spec: Spec, compare: Compare) -> DataFrame:
         if held:
             yield _compared(held, spec, compare)
 
-    picked = keep(rows.select("k1", "k2", "text").mapInArrow(chosen, "k1 long, k2 long, first long, n long, anchor long, data binary, hot boolean"), "picked")
+    picked = keep(rows.select("k1", "k2", "text").mapInArrow(trimmed(chosen), "k1 long, k2 long, first long, n long, anchor long, data binary, hot boolean"), "picked")
     cold = picked.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    parts = [alone, inside, cold.mapInArrow(bucket, "k1 long, k2 long, first long, n long")]
+    parts = [alone, inside, cold.mapInArrow(trimmed(bucket), "k1 long, k2 long, first long, n long")]
     if n_hot:
         stacked = picked.filter("hot")
         buckets = max(1, -(-(stacked.agg(F.sum("n")).first()[0] or 0) // PACK))
-        blocks = keep(stacked.select("k1", "k2", "first", "n", "data").mapInArrow(_packed_windows(spec, buckets), "bucket long, block binary"), "blocks")
+        blocks = keep(stacked.select("k1", "k2", "first", "n", "data").mapInArrow(trimmed(_packed_windows(spec, buckets)), "bucket long, block binary"), "blocks")
         known = blocks.filter("bucket < 0").select("block").mapInArrow(_unpacked_bits, BITS)
-        met = blocks.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_windows, BITS)
+        met = blocks.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_repeated_windows), BITS)
         bits = known.unionByName(met).groupBy("k1", "k2", "word").agg(F.bit_or("bits").alias("bits"))
         parts.append(bits.select("k1", "k2", "word", "bits").mapInArrow(_ranges_of_bits, "k1 long, k2 long, first long, n long"))
     out = parts[0]
@@ -489,7 +489,7 @@ def finished(docs: DataFrame, spec: Spec, compare: Compare, id_col: str, text_co
     are not shuffled.
     """
     k1, k2, spans_col = unused(docs, "k1", "k2", "spans")
-    names, at = docs.columns, docs.columns.index(text_col)
+    names, at = bounded(docs).columns, docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     keyed = plain.select("*", *[k.alias(n) for k, n in zip(row_key(F.col(f"c{names.index(id_col)}"), F.col(f"c{at}")), (k1, k2), strict=True)])
     found = spans(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(f"c{at}").alias("text")), spec, compare)
@@ -523,7 +523,7 @@ def finished(docs: DataFrame, spec: Spec, compare: Compare, id_col: str, text_co
 
     found = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans_col))
     rest = keyed.mapInArrow(have_spans, keyed.schema).join(found, [k1, k2], "left").select(*plain.columns, spans_col)
-    out = keyed.mapInArrow(free, schema).union(rest.mapInArrow(cut, schema))
+    out = keyed.mapInArrow(trimmed(free), schema).union(rest.mapInArrow(trimmed(cut), schema))
     return out.toDF(*names, *added.names)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import fresh, slices, taken, written
+from kscreen.llm.common import fresh, slices, taken, trimmed, written
 from kscreen.llm.units import UnitCache
 
 MAGIC = b"KSDAC01\n"
@@ -274,7 +274,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: s
     # rows of one id, however many, are dealt by text, and equal rows by their places
     rows = rows.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
     rows = rows.repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h", "place").select("id", "text")
-    return written(rows.mapInArrow(run, "part long, seq long, file string, n_docs long, n_ids long"), "manifest")
+    return written(rows.mapInArrow(trimmed(run), "part long, seq long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def _read(manifest: DataFrame, schema: T.StructType, columns: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:

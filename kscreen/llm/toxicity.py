@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import slices, taken, unused
+from kscreen.llm.common import bounded, slices, taken, trimmed, unused
 
 #: Labelled rows of each class, in the order of a hash, that the model is fitted on at most.
 SAMPLE_ROWS = 1500
@@ -39,7 +39,7 @@ SHARED_BYTES, OWN_BYTES = 110_000, 60_000
 LEAST, MIDDLE = (1, 2, 3), (2, 3, 4)
 #: Words from which a text's length counts against chance passes.
 LONG = 100
-CACHE_LIMIT = 250_000
+CACHE_LIMIT = 150_000
 TAIL_BYTES = 48
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&/\\|=+-_~`^@…«»„“”‘’¡¿"
 #: Repeat offsets that end the tables of a trained dictionary, as its format lays down.
@@ -232,7 +232,7 @@ def _scored(model: Model, text_at: int, names: list[str], keep: int):
             for b in slices(batch, text_at):
                 yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(model.scores(b.column(text_at)))], names)
 
-    return run
+    return trimmed(run)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,4 +254,4 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out_col: s
     if unused(docs, out_col) != [out_col]:
         raise ValueError(f"docs has a column {out_col} already")
     at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
-    return docs.mapInArrow(_scored(model, at, schema.names, len(docs.columns)), schema)
+    return bounded(docs).mapInArrow(_scored(model, at, schema.names, len(docs.columns)), schema)

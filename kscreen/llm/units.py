@@ -29,7 +29,7 @@ _MARK[33:127] = ~_LETTER[33:127]
 
 #: Entries of a cache's younger half. When it is full it becomes the older half, from which entries
 #: that are met again come back; bounds a worker's memory, never the result.
-CACHE_LIMIT = 150_000
+CACHE_LIMIT = 100_000
 
 
 def _other_space_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
