@@ -18,18 +18,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one of our own if all runs on
+    this machine, as in tests, else an error: executors would not see each other's files."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kscreen-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Paths that ``fresh`` has given out and ``remove`` has not deleted.
+_MADE: list[str] = []
+
+
 def fresh(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/kscreen/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/kscreen/{tag}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def discard(spark: SparkSession, *keep: str) -> None:
+    """Delete all working tables and files made so far but those to keep: for callers who have written
+    their results elsewhere. Tables that were returned by operators cannot be read after it."""
+    remove(spark, *[p for p in _MADE if p not in keep])
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -39,6 +53,8 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -88,12 +104,15 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: names that differ by case only cannot be told apart by the engine."""
+    return bounded(df).toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def taken(df: DataFrame, **names: str) -> DataFrame:
     """Columns of df under new names (new=old): the first of exactly that name, by place, whatever
     other columns differ from it by case only."""
-    bounded(df)
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"c{df.columns.index(old)}").alias(new) for new, old in names.items()])
+    return by_place(df).select(*[F.col(f"c{df.columns.index(old)}").alias(new) for new, old in names.items()])
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import bounded, taken, trimmed, unused
+from kscreen.llm.common import by_place, taken, trimmed, unused
 
 #: Edits allowed for each hundred characters of an item, and the least length of a piece.
 EDITS_PERCENT, PIECE = 5, 14
@@ -140,12 +140,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     if unused(docs, out_col) != [out_col]:
         raise ValueError(f"docs has a column {out_col} already")
     found = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
-    out = bounded(docs).withColumn(out_col, F.array().cast(found))
+    out = by_place(docs).withColumn("found", F.array().cast(found))
     schema = out.schema
     text_at = docs.columns.index(text_col)
     for block in item_blocks(benchmark, item_id_col, item_text_col):
         out = out.mapInArrow(trimmed(_pass(block, text_at)), schema)
-    return out
+    return out.toDF(*docs.columns, out_col)
 
 
 def _pass(block: list[tuple[int, str]], text_at: int):

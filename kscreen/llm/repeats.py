@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kscreen.llm.bitfilter import BitFilter
-from kscreen.llm.common import bounded, read_back, remove, row_key, slices, store, trimmed, unused
+from kscreen.llm.common import by_place, read_back, remove, row_key, slices, store, trimmed
 
 #: Distinct strings of one minimiser above which its windows are counted by digests.
 HOT = 512
@@ -488,9 +488,9 @@ def finished(docs: DataFrame, spec: Spec, compare: Compare, id_col: str, text_co
     Rows that have no spans are told apart and finished in their own tasks, so that their texts
     are not shuffled.
     """
-    k1, k2, spans_col = unused(docs, "k1", "k2", "spans")
-    names, at = bounded(docs).columns, docs.columns.index(text_col)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    k1, k2, spans_col = "k1", "k2", "spans"
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = by_place(docs)
     keyed = plain.select("*", *[k.alias(n) for k, n in zip(row_key(F.col(f"c{names.index(id_col)}"), F.col(f"c{at}")), (k1, k2), strict=True)])
     found = spans(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(f"c{at}").alias("text")), spec, compare)
     have = BitFilter(found, "k2", found.count())

@@ -3,7 +3,7 @@
 Groups that must stay together, sorted by size, go to the least-loaded shard through a heap.
 The heap runs on the driver over a bounded list: groups above a grain (the mean shard's size
 over GRAINS) are listed one by one, at most shards x GRAINS of them; smaller groups are first
-packed, in their own tasks, into parcels of about one grain. Loads then differ by about the
+packed, in their own tasks and by size, into parcels of about one grain. Loads then differ by about the
 size of a parcel, one part in GRAINS of a shard, unless a single group is larger than that.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kscreen.llm.common import read_back, remove, store, written
@@ -53,8 +53,11 @@ def lpt_shards(df: DataFrame, group_cols: list[str], size: Column, n_shards: int
     """One row for each row of df: keep's columns, size, shard (int) and slot (long, gapless from 0 in a shard).
 
     Rows with equal values in group_cols share a shard (null equals null and, for texts, empty).
-    size: a long of at least 1. Any of df's columns may be null; df's other columns are not read.
-    An empty df gives no rows. A shard's rows can be written with ``write_shards``.
+    size: a long of at least 1. Any of df's columns may be null; df's other columns are not read,
+    whatever their names. Groups of equal size are taken in the order of their hashes; repeated rows
+    share a shard and have slots of their own; texts are only hashed, so very long ones cost no
+    more than their bytes. An empty df gives no rows. A shard's rows can be written with
+    ``write_shards``.
     """
     spark = df.sparkSession
     group = F.sha2(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group_cols]).cast("binary"), 256)
@@ -62,6 +65,7 @@ def lpt_shards(df: DataFrame, group_cols: list[str], size: Column, n_shards: int
     totals = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     grain = max(1, total // (n_shards * GRAINS))
+    totals = totals.sortWithinPartitions(F.desc("_bytes"), "_group")
     groups = written(totals.mapInArrow(_parcels(grain), "_group string, _bytes long, _item string"), "shard-groups")
     items = [(r[0], r[1]) for r in groups.groupBy("_item").agg(F.sum("_bytes")).toLocalIterator()]
     plan = lpt_plan(items, n_shards)
@@ -72,15 +76,14 @@ def lpt_shards(df: DataFrame, group_cols: list[str], size: Column, n_shards: int
     placed = rows.join(places, "_group").drop("_group").sortWithinPartitions("shard")
     placed = placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
     placed = written(placed, "shard-placed")
-    firsts = {(r[0], r[1]): (r[2], r[3]) for r in placed.groupBy("shard", "_part").agg(F.min("_at"), F.count("*")).toLocalIterator()}
-    offsets, used = [], dict.fromkeys(range(n_shards), 0)
-    for (shard, part), (first, count) in sorted(firsts.items()):
-        offsets.append((shard, part, used[shard] - first))
-        used[shard] += count
-    remove(spark, places_path)
-    shifts = spark.createDataFrame(offsets, "shard int, _part int, _shift long")
-    # at most one row for each shard and task
-    return placed.join(F.broadcast(shifts), ["shard", "_part"]).select(*keep, "size", "shard", (F.col("_at") + F.col("_shift")).alias("slot"))
+    # one row for each shard and task; whether it is small enough to broadcast is for the engine to see
+    firsts = placed.groupBy("shard", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = firsts.select("shard", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    shifts = read_back(shifts, shifts_path := store(shifts, "shard-shifts"))
+    out = written(placed.join(shifts, ["shard", "_part"]).select(*keep, "size", "shard", (F.col("_at") + F.col("_shift")).alias("slot")), "shard-slots")
+    remove(spark, places_path, shifts_path)
+    return out
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

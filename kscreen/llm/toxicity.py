@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kscreen.llm.common import bounded, slices, taken, trimmed, unused
+from kscreen.llm.common import by_place, slices, taken, trimmed, unused
 
 #: Labelled rows of each class, in the order of a hash, that the model is fitted on at most.
 SAMPLE_ROWS = 1500
@@ -253,5 +253,6 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out_col: s
     """
     if unused(docs, out_col) != [out_col]:
         raise ValueError(f"docs has a column {out_col} already")
-    at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
-    return bounded(docs).mapInArrow(_scored(model, at, schema.names, len(docs.columns)), schema)
+    at, plain = docs.columns.index(text_col), by_place(docs)
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
+    return plain.mapInArrow(_scored(model, at, schema.names, len(docs.columns)), schema).toDF(*docs.columns, out_col)

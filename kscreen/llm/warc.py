@@ -20,14 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kscreen.llm.common import fresh, taken, written
+from kscreen.llm.common import fresh, taken, trimmed, written
+from kscreen.llm.components import components
 from kscreen.llm.token_store import filesystem
 
 #: Compressed bytes after which a task closes an archive and starts another.
 FILE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = """file string, record_id string, type string, concurrent_to string, target_uri string, date string, payload_digest string,
+RECORD = """file string, record_id string, type string, concurrent_to array<string>, target_uri string, date string, payload_digest string,
     payload_bytes long, refers_to_uri string, status int, fields map<string,string>, payload binary"""
 
 
@@ -97,7 +98,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "n_captures": [n]})
 
-    return written(rows.mapInArrow(run, "file string, n_captures long"), "warc-manifest")
+    return written(rows.mapInArrow(trimmed(run), "file string, n_captures long"), "warc-manifest")
 
 
 def parse(f: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -107,27 +108,32 @@ def parse(f: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
-        headers = {}
+        headers: dict[str, str] = {}
         while (line := f.readline()).strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
-            headers[k.strip().lower()] = v.strip()
-        yield headers, f.read(int(headers.get("content-length", 0)))
+            k, v = k.strip().lower(), v.strip()
+            headers[k] = f"{headers[k]} {v}" if k == "warc-concurrent-to" and k in headers else v
+        size = headers.get("content-length", "0")
+        yield headers, f.read(int(size) if size.isdigit() else 0)
 
 
 def _row(file: str, h: dict[str, str], block: bytes) -> dict:
     kind, ident = h.get("warc-type"), lambda k: h[k].strip("<>") if k in h else None
+    method, _, digest = h.get("warc-payload-digest", "").rpartition(":")
     out = {
-        "file": file, "record_id": ident("warc-record-id"), "type": kind, "concurrent_to": ident("warc-concurrent-to"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"),
-        "payload_digest": h.get("warc-payload-digest", "").rpartition(":")[2] or None, "payload_bytes": None, "refers_to_uri": h.get("warc-refers-to-target-uri"), "status": None, "fields": None, "payload": None,
+        "file": file, "record_id": ident("warc-record-id"), "type": kind, "concurrent_to": [x.strip("<>") for x in h.get("warc-concurrent-to", "").split()], "target_uri": h.get("warc-target-uri"),
+        "date": h.get("warc-date"), "payload_digest": digest if method.lower() == "sha1" and digest else None, "payload_bytes": None, "refers_to_uri": h.get("warc-refers-to-target-uri"), "status": None,
+        "fields": None, "payload": None,
     }
     if kind in ("response", "revisit"):
         head, _, payload = block.partition(b"\r\n\r\n")
         first, *lines = head.decode("latin-1").split("\r\n")
         http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        out["status"] = int(first.split(" ")[1])
+        status = first.split(" ")[1:2]
+        out["status"] = int(status[0]) if status and status[0].isdigit() and len(status[0]) == 3 else None
         if kind == "response":
             out |= {"payload": payload, "payload_bytes": len(payload)}
-            if out["payload_digest"] != bare_digest(payload):
+            if out["payload_digest"] not in (None, bare_digest(payload)):
                 raise ValueError(f"{out['record_id']}: payload and digest differ")
         elif http.get("content-length", "").isdigit():
             out["payload_bytes"] = int(http["content-length"])
@@ -137,49 +143,79 @@ def _row(file: str, h: dict[str, str], block: bytes) -> dict:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """One row per record (``RECORD``) of the manifest's files, read as streams, a file a task."""
-    files = sorted(r[0] for r in manifest.select("file").toLocalIterator())
+    """One row per record (``RECORD``) of the manifest's files, read as streams, a file a task.
+
+    payload_digest is null where a record names none or another than SHA-1, status where the first
+    line of a response is malformed; a SHA-1 digest that is not its payload's raises. Of a repeated
+    header the last counts, but all records of WARC-Concurrent-To do.
+    """
     names = [x.split()[0] for x in RECORD.replace("\n", " ").split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
+        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.int64(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
         schema = pa.schema(list(zip(names, kinds, strict=True)))
         for b in batches:
-            for k in b.column(0).to_pylist():
-                system, path = filesystem(files[k])
+            for file in b.column(0).to_pylist():
+                system, path = filesystem(file)
                 held, size = [], 0
                 with system.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
                     for h, block in parse(io.BufferedReader(f, 1 << 20)):
-                        held.append(_row(files[k], h, block))
+                        held.append(_row(file, h, block))
                         size += len(block) + 500
-                        if size >= 8 << 20:
+                        if size >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    n = len(files)
-    return manifest.sparkSession.range(0, n, 1, max(1, n)).mapInArrow(run, RECORD)
+    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(trimmed(run), RECORD)
 
 
 def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
     """One nested row per capture: (capture_id, response, request, metadata, n_requests, n_metadata).
 
-    Records belong to the response or revisit that they are concurrent to. Of several requests or
-    metadata records that with the least record id is kept and all are counted; a request or
-    metadata record whose response is missing gives a row with a null response. Records without
-    any identifier are one capture. payload=False leaves payloads out, so they are not shuffled.
+    Every response or revisit is a capture, also where several have the same id or none; capture_id
+    is its id. Requests and metadata records belong to all captures that they are concurrent to, by
+    themselves or by way of other records, whichever of two records names the other. Of several
+    requests or metadata records that with the least record id is kept, and all are counted. Those
+    without a capture make rows with a null response: one for each event that they share, and one
+    for each record without any identifier. payload=False leaves payloads out, so they are not
+    shuffled. An empty table gives an empty one.
     """
-    kind = F.when(F.col("type").isin("response", "revisit"), "main").otherwise(F.col("type"))
+    # read once and kept without payloads; these are read again where they are asked for
+    light = written(records.drop("payload", "file"), "warc-records")
+    is_main = F.col("type").isin("response", "revisit")
     common = ["record_id", "type", "target_uri", "date"]
     main = F.struct(*common, "payload_digest", "payload_bytes", "refers_to_uri", "status", *(["payload"] if payload else []))
-    rows = records.select(F.coalesce("concurrent_to", "record_id").alias("capture_id"), kind.alias("kind"), main.alias("main"), F.struct(*common).alias("tied"), F.to_json("fields").alias("fields"))
-    return rows.groupBy("capture_id").agg(
-        F.min(F.when(F.col("kind") == "main", F.col("main"))).alias("response"),
-        F.min(F.when(F.col("kind") == "request", F.col("tied"))).alias("request"),
-        F.min(F.when(F.col("kind") == "metadata", F.struct(F.col("tied.record_id"), F.col("fields")))).alias("metadata"),
-        F.count(F.when(F.col("kind") == "request", 1)).alias("n_requests"),
-        F.count(F.when(F.col("kind") == "metadata", 1)).alias("n_metadata"),
-    )
-
-
+    mains = (records if payload else light).filter(is_main).select("record_id", "concurrent_to", main.alias("response"))
+    tied = light.filter(F.col("type").isin("request", "metadata"))
+    tied = tied.select("record_id", "concurrent_to", "type", F.struct(*common).alias("own"), F.to_json("fields").alias("fields"))
+    first = F.get("concurrent_to", F.lit(0))
+    links = light.select("record_id", is_main.alias("main"), F.explode("concurrent_to").alias("other"))
+    ids = light.filter(is_main & F.col("record_id").isNotNull()).select(F.col("record_id").alias("other"))
+    # as a rule requests and metadata records each name one response; else events are components of links
+    odd = links.filter("main").select("other").union(links.join(ids, "other", "left_anti").select("other"))
+    several = light.filter(F.size("concurrent_to") > 1).select(first.alias("other"))
+    if odd.union(several).limit(1).count():
+        events = components(links.filter("record_id is not null").select(F.col("record_id").alias("a"), F.col("other").alias("b")))
+        key = events.select(F.col("v").alias("_id"), F.col("label").alias("_event"))
+        mains, tied = (
+            x.withColumn("_id", F.coalesce("record_id", first)).join(key, "_id", "left").withColumn("_event", F.coalesce("_event", "_id")).drop("_id") for x in (mains, tied)
+        )
+    else:
+        mains, tied = mains.withColumn("_event", F.col("record_id")), tied.withColumn("_event", F.coalesce(first, "record_id"))
+    counts = [
+        F.min(F.when(F.col("type") == "request", F.col("own"))).alias("request"),
+        F.min(F.when(F.col("type") == "metadata", F.struct("own.record_id", "fields"))).alias("metadata"),
+        F.count(F.when(F.col("type") == "request", 1)).alias("n_requests"),
+        F.count(F.when(F.col("type") == "metadata", 1)).alias("n_metadata"),
+    ]
+    # one row an event, summed in each task first; records without identifiers stand alone
+    alone = F.when(F.col("_event").isNull(), F.monotonically_increasing_id())
+    events = written(tied.withColumn("_alone", alone).groupBy("_event", "_alone").agg(*counts), "warc-events")
+    told = [c for c in events.columns if c[0] != "_"]
+    captures = mains.join(events.filter("_event is not null").select("_event", *told), "_event", "left")
+    captures = captures.select(F.col("record_id").alias("capture_id"), "response", "request", "metadata", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_requests", "n_metadata")])
+    left = events.join(mains.select("_event").filter("_event is not null"), "_event", "left_anti")
+    none = F.lit(None).cast(captures.schema["response"].dataType)
+    return captures.unionByName(left.select(F.col("_event").alias("capture_id"), none.alias("response"), *told))

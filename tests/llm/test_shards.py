@@ -42,3 +42,30 @@ def test_fewer_groups_than_shards_and_none(spark, docs_of):
 def test_crc_is_of_utf8(spark):
     got = spark.createDataFrame([("é",)], "t string").select(F.crc32(F.col("t").cast("binary"))).first()[0]
     assert got == zlib.crc32("é".encode())
+
+
+def test_plan_against_brute_force(spark, docs_of, prose, monkeypatch):
+    """With a grain of one byte every group goes through the heap: the loads are those of plain LPT over all groups."""
+    from kscreen.llm import shards
+
+    monkeypatch.setattr(shards, "GRAINS", 10**9)
+    texts = [prose(i % 40 + 1) for i in range(200)] + ["one text"] * 60 + [None, ""]
+    rows = placed(docs_of(texts), 7).collect()
+    groups = {}
+    for t in texts:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 16
+    loads = [0] * 7
+    for size in sorted(groups.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    got = [0] * 7
+    for r in rows:
+        got[r.shard] += r.size
+    assert sorted(got) == sorted(loads)
+
+
+def test_hot_group_and_long_text(spark):
+    rows = [(None, "hot")] * 3000 + [(i, f"text {i}") for i in range(1000)] + [(5000, "x" * 10_000_000)]
+    out = placed(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), 4).collect()
+    assert len(out) == len(rows) and len({r.shard for r in out if r.text == "hot"}) == 1
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))

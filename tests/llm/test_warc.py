@@ -50,11 +50,71 @@ def test_nulls_ties_and_nothing(spark):
     assert captures(spark, df.limit(0)) == []
 
 
+def rec(record_id, kind, to=(), payload=None, fields=None):
+    return ("f", record_id, kind, list(to), "u", "d", None, None if payload is None else len(payload), None, 200 if payload else None, fields, payload)
+
+
+def assembled(spark, rows, **options):
+    return W.assemble(spark.createDataFrame(rows, W.RECORD), **options).collect()
+
+
 def test_stray_records(spark):
-    rows = [("f", "r1", "request", "gone", "u", "d", None, None, None, None, None, None), ("f", "m1", "metadata", "x", "u", "d", None, None, None, None, {"a": "b"}, None), ("f", "x", "response", None, "u", "d", "D", 3, None, 200, None, b"abc"), ("f", "r2", "request", "x", "u", "d", None, None, None, None, None, None), ("f", "r0", "request", "x", "u", "d", None, None, None, None, None, None)]
-    got = {r.capture_id: r for r in W.assemble(spark.createDataFrame(rows, W.RECORD)).collect()}
+    rows = [rec("r1", "request", ["gone"]), rec("m1", "metadata", ["x"], fields={"a": "b"}), rec("x", "response", payload=b"abc"), rec("r2", "request", ["x"]), rec("r0", "request", ["x"])]
+    got = {r.capture_id: r for r in assembled(spark, rows)}
+    assert set(got) == {"gone", "x"}
     assert got["gone"].response is None and got["gone"].request.record_id == "r1"
-    assert (got["x"].response.payload, got["x"].request.record_id, got["x"].n_requests) == (b"abc", "r0", 2)
+    assert (got["x"].response.payload, got["x"].request.record_id, got["x"].n_requests, got["x"].n_metadata) == (b"abc", "r0", 2, 1)
+
+
+def test_every_response_is_a_capture(spark):
+    rows = [rec("x", "response", payload=b"a"), rec("x", "response", payload=b"b"), rec(None, "response", payload=b"c"), rec(None, "response", payload=b"d"), rec("q", "request", ["x"])]
+    rows += [rec(None, "request"), rec(None, "request"), rec(None, "metadata", fields={"k": "v"}), rec("w", "warcinfo")]
+    got = assembled(spark, rows)
+    assert sorted((r.response.payload, r.n_requests) for r in got if r.response) == [(b"a", 1), (b"b", 1), (b"c", 0), (b"d", 0)]
+    assert sorted((r.n_requests, r.n_metadata) for r in got if not r.response) == [(0, 1), (1, 0), (1, 0)]
+
+
+def test_concurrent_to_is_followed(spark):
+    rows = [rec("x", "response", payload=b"a"), rec("q", "request", ["x"]), rec("m", "metadata", ["q"]), rec("y", "revisit", ["p"]), rec("p", "request"), rec("n", "metadata", ["gone", "y"])]
+    rows += [rec("z", "response", payload=b"z"), rec("o", "request", ["gone2"])]
+    got = {r.capture_id: r for r in assembled(spark, rows, payload=False)}
+    ids = lambda r: (r.request and r.request.record_id, r.metadata and r.metadata.record_id)
+    assert ids(got["x"]) == ("q", "m") and ids(got["y"]) == ("p", "n") and ids(got["z"]) == (None, None)
+    assert len(got) == 4 and [ids(r) for r in got.values() if r.response is None] == [("o", None)]
+    assert "payload" not in got["x"].response.asDict()
+    assert assembled(spark, []) == []
+
+
+def archive(tmp_path, *records):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    return str(tmp_path / "a.warc.gz")
+
+
+def test_other_archives(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    sha256 = "sha256:" + hashlib.sha256(b"x").hexdigest()
+    file = archive(
+        tmp_path,
+        W.record("response", "1", [], "application/http", http + b"no digest"),
+        W.record("response", "2", [("WARC-Payload-Digest", sha256)], "application/http", http + b"x"),
+        W.record("response", "3", [], "application/http", b"garbage"),
+        W.record("response", "4", [], "application/http", b"HTTP/1.1 abc OK\r\n\r\nbody"),
+        W.record("metadata", "5", [("WARC-Concurrent-To", "<urn:uuid:0>"), ("WARC-Concurrent-To", "<urn:uuid:1>")], "application/warc-fields", b"a: b\r\n"),
+    )
+    rows = W.read_archives(spark.createDataFrame([(file, 5)], "file string, n_captures long"))
+    got = {r.record_id[-1]: r for r in rows.collect()}
+    assert [(got[i].payload_digest, got[i].status) for i in "1234"] == [(None, 200), (None, 200), (None, None), (None, None)]
+    assert got["5"].concurrent_to == ["urn:uuid:0", "urn:uuid:1"]
+    assert {r.capture_id[-1]: r.n_metadata for r in W.assemble(rows).collect()} == {"1": 1, "2": 0, "3": 0, "4": 0}
+    bad = archive(tmp_path, W.record("response", "1", [("WARC-Payload-Digest", "sha1:AAAA")], "application/http", http + b"x"))
+    with pytest.raises(Exception, match="differ"):
+        W.read_archives(spark.createDataFrame([(bad, 1)], "file string, n_captures long")).collect()
+
+
+def test_very_long_payload(spark):
+    body = "0123456789" * 1_000_000
+    got = captures(spark, pages(spark, [body, body, "b"]))
+    assert sorted((r.page_id, r.response.type, r.response.payload_bytes) for r in got) == [(0, "revisit", 10_000_000), (1, "response", 10_000_000), (2, "response", 1)]
 
 
 def test_parse_refuses_other_bytes():
