@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kscreen.llm import bpe, decontaminate, minhash, super_kmers, toxicity
-from kscreen.llm.common import read_back, row_key, store
+from kscreen.llm.common import discard, read_back, row_key, store
 from kscreen.llm.queries import VOCABULARY_RANKS, table, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -61,9 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written and read again."""
+    """The stages in order over documents, each written and read again; what a stage has worked with goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        docs = read_back(out, store(out, f"stage-{name}"))
+        path = store(out, f"stage-{name}")
+        docs = read_back(out, path)
+        discard(spark, path)
     return docs
