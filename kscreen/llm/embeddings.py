@@ -71,6 +71,11 @@ def _radius(cosine: float, dim: int) -> float:
     return float(np.sqrt((2 - 2 * cosine) / len(block_slices(dim)))) + SLACK
 
 
+def _budget(cosine: float, dim: int) -> float:
+    """Squared distance within a block up to which a pair may be linked, with room for rounding; bins are as wide as its root."""
+    return _radius(cosine, dim) ** 2 + SLACK
+
+
 _ROTATIONS: dict[int, np.ndarray] = {}
 
 
@@ -83,13 +88,13 @@ def _rotated(x: np.ndarray) -> np.ndarray:
 
 def _bins(x: np.ndarray, cosine: float) -> list[int]:
     y = _rotated(x[None])[0]
-    return [int(np.floor(y[s.start] / _radius(cosine, len(x)))) for s in block_slices(len(x))]
+    return [int(np.floor(y[s.start] / np.sqrt(_budget(cosine, len(x))))) for s in block_slices(len(x))]
 
 
 def _cell_links(ids: list[bytes], x: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, block: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of verified links whose first qualifying block is this one."""
     y, unit = _rotated(x), _unit(x)
-    slices, budget = block_slices(x.shape[1]), _radius(cosine, x.shape[1]) ** 2 + SLACK
+    slices, budget = block_slices(x.shape[1]), _budget(cosine, x.shape[1])
     own = y[:, slices[block]]
     norm = (own * own).sum(axis=1)
     for i in range(0, len(left), 512):
@@ -155,7 +160,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing
     and are components of their own, as are vectors whose length no other has. Equal vectors link
-    (repeated rows with them). A component's id is the least id in it; other columns are not read.
+    (repeated rows with them). A component's id is the least id in it, null if all are null; an empty
+    table gives an empty one; other columns are not read, whatever their names. Very long vectors
+    are taken as they are, one at a time, before they are put into cells.
     """
     spark = df.sparkSession
     done: list[str] = []

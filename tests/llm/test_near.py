@@ -86,3 +86,13 @@ def test_embeddings_nothing(spark):
     assert embeddings.near_vectors(df).count() == 0
     one = spark.createDataFrame([(None, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<float>")
     assert [(r.n_links, r.component_id) for r in embeddings.near_vectors(one).orderBy(F.col("id")).collect()] == [(0, None), (0, None)]
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_recall_on_a_whole_table(spark):
+    """All links of a table, against all pairs of whole sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    want = minhash.brute_force([r.doc_id for r in rows], [r.text for r in rows])
+    got = {r.id: (r.n_shingles, r.component_id, r.id == r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == want and sum(not kept for _, _, kept in want.values()) > 50
