@@ -94,5 +94,10 @@ def contains_jenkins(queries: DataFrame, filter_words: DataFrame, sizing: Sizing
 def info(kmers: DataFrame, k: int, sizing: Sizing) -> DataFrame:
     """The printed facts of a filter: word size, bits, hashes, error rate and distinct k-mers."""
     return kmers.agg(F.count("*").alias("inserts")).select(
-        F.lit(k).alias("word_size"), F.lit(sizing.bits).cast("long").alias("bits"), F.lit(sizing.n_hashes).alias("n_hashes"), F.lit(sizing.capacity).cast("long").alias("capacity"), F.format_string("%e", F.lit(sizing.error_rate)).alias("error_rate"), "inserts"
+        F.lit(k).alias("word_size"),
+        F.lit(sizing.bits).cast("long").alias("bits"),
+        F.lit(sizing.n_hashes).alias("n_hashes"),
+        F.lit(sizing.capacity).cast("long").alias("capacity"),
+        F.format_string("%e", F.lit(sizing.error_rate)).alias("error_rate"),
+        "inserts",
     )

@@ -16,22 +16,31 @@ def seconds_between(begin: Column, end: Column) -> Column:
 def parse_time(s: Column) -> Column:
     """Time stamps with or without milliseconds; a trailing offset or Z is dropped. Null where neither fits."""
     bare = F.regexp_replace(s, r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return F.coalesce(F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    formats = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss")
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
 
 
 def by_sample(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Reports of two tools joined on the sample's basename; both need their time stamps."""
-    a = ours.filter("begin_timestamp is not null and end_timestamp is not null").select(basename(F.col("sample")).alias("sample"), F.col("contamination_rate").alias("rate_a"), seconds_between(F.col("begin_timestamp"), F.col("end_timestamp")).alias("seconds_a"))
-    b = theirs.filter("begin_timestamp is not null and end_timestamp is not null").select(basename(F.col("sample")).alias("sample"), F.col("contamination_rate").alias("rate_b"), seconds_between(F.col("begin_timestamp"), F.col("end_timestamp")).alias("seconds_b"))
-    return a.join(b, "sample").select("sample", "rate_a", "rate_b", "seconds_a", "seconds_b")
+
+    def side(reports: DataFrame, name: str) -> DataFrame:
+        timed = reports.filter("begin_timestamp is not null and end_timestamp is not null")
+        seconds = seconds_between(F.col("begin_timestamp"), F.col("end_timestamp"))
+        return timed.select(basename(F.col("sample")).alias("sample"), F.col("contamination_rate").alias(f"rate_{name}"), seconds.alias(f"seconds_{name}"))
+
+    return side(ours, "a").join(side(theirs, "b"), "sample").select("sample", "rate_a", "rate_b", "seconds_a", "seconds_b")
 
 
 def zipped(ours: DataFrame, theirs: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Rows with the same ordinal whose sample basenames and reference stems agree, where the other
     tool named an organism and both sides have memory figures and times."""
-    a = ours.filter("memory is not null and begin_timestamp is not null").select(ordinal, basename(F.col("sample")).alias("sample"), stem(F.col("reference")).alias("reference"), F.col("rate").alias("rate_a"))
-    b = theirs.filter("memory is not null and begin_timestamp is not null and n_organisms > 0").select(ordinal, basename(F.col("sample")).alias("sample"), stem(F.col("reference")).alias("reference"), F.col("rate").alias("rate_b"))
-    return a.join(b, [ordinal, "sample", "reference"]).select(ordinal, "sample", "reference", "rate_a", "rate_b")
+
+    def side(reports: DataFrame, name: str) -> DataFrame:
+        timed = reports.filter("memory is not null and begin_timestamp is not null")
+        return timed.select(ordinal, basename(F.col("sample")).alias("sample"), stem(F.col("reference")).alias("reference"), F.col("rate").alias(f"rate_{name}"))
+
+    named = side(theirs.filter("n_organisms > 0"), "b")
+    return side(ours, "a").join(named, [ordinal, "sample", "reference"]).select(ordinal, "sample", "reference", "rate_a", "rate_b")
 
 
 def confusion(rows: DataFrame, called: Column, positive: Column, *by: str) -> DataFrame:

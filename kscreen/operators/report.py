@@ -69,4 +69,5 @@ TSV_COLUMNS = ("sample", "bloom_filter", "total_read_count", "contaminated_reads
 
 def tsv(doc: DataFrame) -> DataFrame:
     """Six columns with six names, rates as %f and the p-value as %e."""
-    return doc.select("sample", "bloom_filter", "total_read_count", "contaminated_reads", F.format_string("%f", "contamination_rate").alias("contamination_rate"), F.format_string("%e", "p_value").alias("p_value"))
+    shown = [F.format_string("%f", "contamination_rate").alias("contamination_rate"), F.format_string("%e", "p_value").alias("p_value")]
+    return doc.select(*TSV_COLUMNS[:4], *shown)

@@ -201,10 +201,12 @@ def random_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reports(spark: SparkSession, sf_dir: str, folder: str, lowest: int) -> DataFrame:
     """Report rows of a tool, made from events: one a user, with its first and last time."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("begin_timestamp"), F.max("ts").alias("end_timestamp"), F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"))
+    times = [F.min("ts").alias("begin_timestamp"), F.max("ts").alias("end_timestamp")]
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(*times, F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"))
     return e.filter(F.col("n") >= lowest).select(
         F.concat(F.lit(folder), F.col("user_id").cast("string"), F.lit(".fastq")).alias("sample"), F.concat(F.lit("/ref/g"), (F.col("user_id") % 5).cast("string"), F.lit(".bloom")).alias("reference"),
-        "begin_timestamp", "end_timestamp", F.round(F.col("high") / F.col("n"), 9).alias("contamination_rate"), F.col("user_id").alias("ordinal"), F.col("n").alias("memory"), F.col("high").alias("n_organisms"),
+        "begin_timestamp", "end_timestamp", F.round(F.col("high") / F.col("n"), 9).alias("contamination_rate"),
+        F.col("user_id").alias("ordinal"), F.col("n").alias("memory"), F.col("high").alias("n_organisms"),
     )
 
 

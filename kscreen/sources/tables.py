@@ -38,7 +38,10 @@ def read_screen_reports(spark: SparkSession, path: str, sample: Column | None =
     sample: from the column file; by default the file's name without its extension. The rate
     follows the first library, as in the reports it is compared with (``compare.screen_rate``).
     """
-    names = ["library", "processed", "unmapped", "unmapped_percent", "n_one_one", "one_hit_one_library", "n_many_one", "multiple_hits_one_library", "n_one_many", "one_hit_multiple_libraries", "n_many_many", "multiple_hits_multiple_libraries"]
+    names = [
+        "library", "processed", "unmapped", "unmapped_percent", "n_one_one", "one_hit_one_library", "n_many_one", "multiple_hits_one_library",
+        "n_one_many", "one_hit_multiple_libraries", "n_many_many", "multiple_hits_multiple_libraries",
+    ]
     rows = read_screen_table(spark, path, names).withColumn("sample", stem(F.col("file")) if sample is None else sample)
     grouped = rows.groupBy("sample", "file", "version").agg(F.array_sort(F.collect_list(F.struct("line", *names))).alias("organisms"))
     first = F.col("organisms")[0]
