@@ -39,8 +39,12 @@ SHARED_BYTES, OWN_BYTES = 110_000, 60_000
 LEAST, MIDDLE = (1, 2, 3), (2, 3, 4)
 #: Words from which a text's length counts against chance passes.
 LONG = 100
-CACHE_LIMIT = 150_000
+#: Words in the younger half of a worker's memory; when it is full it becomes the older half, from which
+#: words that are met again come back.
+CACHE_LIMIT = 120_000
 TAIL_BYTES = 48
+#: Bytes of texts whose distinct words are looked up at once.
+RUN_BYTES = 4 << 20
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&/\\|=+-_~`^@…«»„“”‘’¡¿"
 #: Repeat offsets that end the tables of a trained dictionary, as its format lays down.
 _OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
@@ -90,10 +94,11 @@ class Dictionaries:
     shared: bytes
     pairs: list[tuple[bytes, bytes]]
     cache: dict[str, int] = field(default_factory=dict, repr=False)
+    older: dict[str, int] = field(default_factory=dict, repr=False)
     ready: list | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {"tables": self.tables, "shared": self.shared, "pairs": self.pairs, "cache": {}, "ready": None}
+        return {"tables": self.tables, "shared": self.shared, "pairs": self.pairs, "cache": {}, "older": {}, "ready": None}
 
     def _open(self) -> list[tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]]:
         p = zstandard.ZstdCompressionParameters(
@@ -112,6 +117,9 @@ class Dictionaries:
     def level(self, word: str) -> int:
         """The least and the middle distance of the word's window, each below LEVELS: least * LEVELS + middle."""
         got = self.cache.get(word)
+        if got is not None:
+            return got
+        got = self.older.get(word)
         if got is None:
             if self.ready is None:
                 self.ready = self._open()
@@ -124,9 +132,9 @@ class Dictionaries:
             saved.sort()
             least, middle = (saved[0], saved[len(saved) // 2]) if saved else (0, 0)
             got = min(max(least, 0), LEVELS - 1) * LEVELS + min(max(middle, 0), LEVELS - 1)
-            if len(self.cache) >= CACHE_LIMIT:
-                self.cache.clear()
-            self.cache[word] = got
+        if len(self.cache) >= CACHE_LIMIT:
+            self.cache, self.older = {}, self.cache
+        self.cache[word] = got
         return got
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -229,7 +237,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def _scored(model: Model, text_at: int, names: list[str], keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, text_at):
+            for b in slices(batch, text_at, RUN_BYTES):
                 yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(model.scores(b.column(text_at)))], names)
 
     return trimmed(run)
