@@ -81,6 +81,35 @@ def test_embeddings(spark, chunk, monkeypatch):
     assert len(found) == len(vs) and sum(r.n_links > 0 for r in found) > 60
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for a shuffle."""
+    jvm, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_embeddings_do_not_travel(spark, monkeypatch):
+    """Comparisons grow with the square of the rows, what is shuffled does not (before: each vector once a cell)."""
+    monkeypatch.setattr(embeddings, "CHUNK", 64)
+    x = np.random.default_rng(5).standard_normal((3000, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").coalesce(4).localCheckpoint()
+    before = shuffled(spark)
+    assert embeddings.near_vectors(df).count() == 3000
+    assert shuffled(spark) - before < 4 * x.nbytes
+
+
+def test_embeddings_equal_in_many_tasks(spark, monkeypatch):
+    """Each task stores its own copy of a vector; counts are those of rows. Single and double precision meet."""
+    monkeypatch.setattr(embeddings, "CHUNK", 5)
+    monkeypatch.setattr(embeddings, "SHARE", 3)
+    vs = vectors(60) * 3
+    vs += [[float(np.float32(x)) for x in v] for v in vs[10:40]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "vec_id long, embedding array<double>").repartition(7)
+    got = {r.id: (r.n_links, r.component_id, r.id == r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert got == embeddings.brute_force(list(range(len(vs))), vs)
+
+
 def test_embeddings_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_vectors(df).count() == 0
