@@ -296,8 +296,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cell = F.xxhash64("key", F.when(F.col("count").isNull(), -1).otherwise(own)).alias("cell")
     cells = members.join(large, "key", "left").select(cell, F.lit(2).alias("side"), "digest", "sig", F.col("digest").alias("label"))
     pairs = keep(_together(cells).mapInArrow(trimmed(_by_cell(_likeliest)), "a binary, b binary").distinct(), "pairs")
-    folder, sets = _sets(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), classes, rows, keep)
-    done.append(folder)
+    wanted = keep(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "wanted")
+    asked = _asked(wanted)
+    folder, sets = _sets(wanted, _only(classes.select("digest", "row"), asked), rows, keep)
+    done.extend((folder, asked.path))
     first = pairs.join(sets.toDF("a", "file_a", "at_a", "n_a"), "a").join(sets.toDF("b", "file_b", "at_b", "n_b"), "b")
     first = first.select("a", "b", "file_a", "at_a", "n_a", "file_b", "at_b", "n_b")
     links = keep(first.mapInArrow(trimmed(_confirm(folder)), "a binary, b binary"), "links")
@@ -310,9 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
     split = keep(split.select("key", F.col("main.label").alias("main"), F.col("main.count").alias("n_main"), "n"), "split")
     named = keep(named.join(split, "key"), "open")
-    folder, sets = _sets(named.select("digest").distinct(), classes, rows, keep)
-    done.append(folder)
-    sets = keep(sets.join(classes.select("digest", "sig", "bands"), "digest"), "open-sets")
+    wanted = keep(named.select("digest").distinct(), "wanted")
+    asked = _asked(wanted)
+    folder, sets = _sets(wanted, _only(classes.select("digest", "row"), asked), rows, keep)
+    done.extend((folder, asked.path))
+    sets = keep(sets.join(_only(classes.select("digest", "sig", "bands"), asked), "digest"), "open-sets")
     open_ = keep(_open_cells(named), "cells").join(sets, "digest")
     open_ = _together(open_.select("cell", "side", "digest", "sig", "label", "band", "bands", "file", "at", "n"))
     more = keep(open_.mapInArrow(trimmed(_by_cell(_remaining(folder))), "a binary, b binary"), "more-links")
@@ -357,12 +361,29 @@ def _open_cells(named: DataFrame) -> DataFrame:
     return rows.select("c.cell", "c.side", "digest", "label", "band")
 
 
+def _asked(wanted: DataFrame) -> BitFilter:
+    """A bit table of some digests."""
+    return BitFilter(wanted.select(F.xxhash64("digest").alias("h")).distinct(), "h", wanted.count())
+
+
+def _only(classes: DataFrame, asked: BitFilter) -> DataFrame:
+    """The classes whose digests pass, so that others' columns do not travel to the join that follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                last = b.num_columns - 1
+                yield pa.RecordBatch.from_arrays(b.columns[:last], b.schema.names[:last]).filter(pa.array(asked.passes(b.column(last).to_numpy())))
+
+    return classes.withColumn("h", F.xxhash64("digest")).mapInArrow(run, classes.schema)
+
+
 def _sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[str, DataFrame]:
     """A folder of set files, and (digest, file, at, n) of the wanted classes; no text is shuffled.
 
     A task writes its sets into a file named after its attempt, so a task that runs again does no harm.
     """
-    wanted = keep(classes.join(keep(wanted, "wanted"), "digest").select("digest", "row.k1", "row.k2"), "wanted-rows")
+    wanted = keep(classes.join(wanted, "digest").select("digest", "row.k1", "row.k2"), "wanted-rows")
     passing = BitFilter(wanted, "k2", wanted.count())
     folder = fresh(rows.sparkSession, "sets")
     system, path = filesystem(folder)

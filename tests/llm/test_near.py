@@ -51,6 +51,31 @@ def test_minhash_nothing_and_null_ids(spark, docs_of, prose):
     assert sorted((r.id or -1, r.component_id or -1) for r in minhash.near_duplicates(df).collect()) == [(-1, -1), (-1, 3), (3, 3), (3, 3)]
 
 
+def test_minhash_signatures_stay(spark, docs_of, prose, rng, monkeypatch):
+    """Signatures of texts without a near copy are not shuffled to look up those of the others (before: all were)."""
+    texts = [prose(40) for _ in range(1500)]
+    for t in texts[:3]:  # a class with two partners each, which leaves its bucket open
+        texts += [t + " more", t + " other words"]
+    bytes_of = {}
+
+    def store(df, tag, plain=minhash.store):
+        before = shuffled(spark)
+        path = plain(df, tag)
+        bytes_of[tag] = shuffled(spark) - before
+        return path
+
+    monkeypatch.setattr(minhash, "store", store)
+    docs = docs_of(texts)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        found = minhash.near_duplicates(docs)
+        assert found.filter("id <> component_id").count() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert bytes_of["open-sets"] < bytes_of["classes"] / 4
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)]
