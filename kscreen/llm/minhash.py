@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = _together(open_.select("cell", "side", "digest", "sig", "label", "band", "bands", "file", "at", "n"))
     more = keep(open_.mapInArrow(trimmed(_by_cell(_remaining(folder))), "a binary, b binary"), "more-links")
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        # labels stand for the links that they were made from
+        labels = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = signed.join(labels.select(F.col("v").alias("digest"), "label"), "digest", "left")
     # texts without shingles stand for themselves
     own = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.monotonically_increasing_id().cast("string"))).cast("binary")
